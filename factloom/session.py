@@ -43,6 +43,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
+def spread(spark: SparkSession) -> int:
+    """Partitions for work that is heavy for its bytes, which AQE would gather into too few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and the rows survive a lost executor."""
     spark = df.sparkSession
