@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import spelling, survivor
+from factloom.llm import langid, leakage, spelling, stuffing, survivor
 from factloom.session import table
 
 
@@ -29,4 +29,26 @@ def p6_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.fuse(table(spark, sf_dir, "link_clusters"), table(spark, sf_dir, "links"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_records, p6_found, p6_fused)}
+TEXT_FIELDS = ["caption", "transcript", "top_comments"]
+
+
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    videos = table(spark, sf_dir, "short_videos")
+    profiles = langid.train_profiles(videos, TEXT_FIELDS)
+    return langid.segment_languages(videos, profiles, "link_id", TEXT_FIELDS, "lang")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrong = p1_segments(spark, sf_dir).where("label_lang is null or label_lang <> lang")
+    return wrong.select("link_id", "field_name", "seg_no", "lang")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.find_stuffed(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p4_found, p4_records, p6_found, p6_fused, p8_found, p10_found)}
