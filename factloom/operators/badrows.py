@@ -17,7 +17,7 @@ import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import need, salted_join
+from factloom.session import need, salted_join, ship
 
 #: Target columns of an uploaded hypothesis file.
 COLUMNS = (
@@ -143,6 +143,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
     row_id. A null batch_id is a batch of its own. Other input columns are ignored.
     """
     need(lines, ["row_id", "batch_id", "line_no", "raw_line"])
+    ship(lines.sparkSession)
     lines = lines.select("row_id", "batch_id", "line_no", "raw_line", F.coalesce("batch_id", F.lit("\u0000")).alias("_batch"))
     headers = lines.where("line_no = 1").groupBy("_batch").agg(F.min_by("raw_line", "row_id").alias("_header"))
     data = salted_join(lines.where("line_no is null or line_no <> 1"), headers, "_batch", F.col("row_id"))

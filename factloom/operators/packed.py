@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import need
+from factloom.session import need, ship
 
 #: Separators in order of rank: a field uses the first of these groups that occurs outside quotes.
 SEPARATORS = ("|", ";", ",", "\n\r", "\t")
@@ -105,6 +105,7 @@ def unpack_fields(df: DataFrame, id_col: str, fields: Sequence[str]) -> DataFram
     keep all their rows; columns other than the id and the fields are ignored.
     The pass is narrow: no shuffle, one task's memory holds one Arrow batch.
     """
+    ship(df.sparkSession)
     need(df, [id_col, *fields])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

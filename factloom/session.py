@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +67,20 @@ def salted_join(big: DataFrame, small: DataFrame, on: str, salt_of: Column, how:
     return big.join(small, [on, "_salt"], how).drop("_salt")
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers of every executor, once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_factloom_shipped", None) is None:
+        home = Path(__file__).resolve().parent
+        path = Path(tempfile.mkdtemp(prefix="factloom-")) / "factloom.zip"
+        with zipfile.ZipFile(path, "w") as out:
+            for f in sorted(home.rglob("*.py")):
+                out.write(f, f.relative_to(home.parent))
+        sc.addPyFile(str(path))
+        sc._factloom_shipped = str(path)
+    return spark
+
+
 def need(df: DataFrame, columns: Sequence[str]) -> None:
     """Fail early and readably when an input lacks a column."""
     missing = [c for c in columns if c not in df.columns]
