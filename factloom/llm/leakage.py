@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import need
+from factloom.session import need, ship
 
 Q = 10
 #: Half-overlapping diagonal bands are this wide; hits farther apart than GAP start a new stretch.
@@ -210,6 +210,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     shared sentences only) are never reported; items with equal text are all reported;
     repeated rows give repeated results.
     """
+    ship(docs.sparkSession)
     need(docs, [id_col, text_col])
     mb = (items.agg(F.sum(F.length(item_text)).alias("n")).first()["n"] or 0) / 1e6
     if mb > max_items_mb:

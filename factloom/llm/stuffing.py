@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.session import need, spread
+from factloom.session import need, ship, spread
 
 #: Closed-class words by language, which head the rank-frequency curve of any prose. Fixed values.
 FUNCTION_WORDS = {
@@ -122,6 +122,7 @@ def find_stuffed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is no prose. Null and empty texts are no pages. Equal rows count as one page; a
     null id is a page of its own id null. Extra columns are ignored.
     """
+    ship(docs.sparkSession)
     need(docs, [id_col, text_col])
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("length(text) > 0").distinct()
     own = own.repartition(spread(docs.sparkSession), "id")
