@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import langid, leakage, spelling, stuffing, survivor
+from factloom.llm import boilerplate, langid, leakage, residue, spelling, stuffing, survivor
 from factloom.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.find_furniture(table(spark, sf_dir, "bodies"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf_dir, "bodies")).select("body_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "links")
     keys = spelling.record_keys(links, "link_id", ["title", "snippet"], ["url"])
@@ -51,4 +59,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.find_stuffed(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p4_found, p4_records, p6_found, p6_fused, p8_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p3_found, p5_found, p4_found, p4_records, p6_found, p6_fused, p8_found, p10_found)}
