@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import boilerplate, langid, leakage, residue, spelling, stuffing, survivor
+from factloom.llm import boilerplate, langid, leakage, mixture, residue, spelling, stuffing, survivor
 from factloom.session import table
 
 
@@ -55,8 +55,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.find_stuffed(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p3_found, p5_found, p4_found, p4_records, p6_found, p6_fused, p8_found, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p3_found, p5_found, p4_found, p4_records, p6_found, p6_fused, p8_found, p9_mixture, p9_shares, p10_found)}
