@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from factloom.plans import data_problems
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES = {**data_problems.QUERIES}
-ORACLES = {**data_problems.ORACLES}
+from factloom.plans import data_problems, reference_queries
 
+QUERIES = {**reference_queries.QUERIES, **data_problems.QUERIES}
+ORACLES = {**reference_queries.ORACLES, **data_problems.ORACLES}
 
-def flagship(spark, sf_dir):
-    return QUERIES["p2_found"](spark, sf_dir)
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to ranked verdicts: evidence, hit rates, balanced cut, verdict, rank."""
+    return QUERIES["triage"](spark, sf_dir)
