@@ -12,7 +12,7 @@ _ENTITIES = (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("
 
 def normalise(text: Column) -> Column:
     """Lower case, blanks collapsed and trimmed; null gives ''."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Z}]+", " "))
 
 
 def content_hash(title: Column, body: Column) -> Column:

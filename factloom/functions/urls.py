@@ -48,8 +48,13 @@ def alternatives(words: list[str]) -> str:
     return "|".join(w.replace(".", r"\.").replace("-", r"\-") for w in words)
 
 
+def strip(text: Column) -> Column:
+    """A text without blanks of any kind around it."""
+    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def part(url: Column, k: int) -> Column:
-    return F.regexp_extract(url, SPLIT, k)
+    return F.regexp_extract(strip(url), SPLIT, k)
 
 
 def host_of(url: Column) -> Column:
@@ -80,7 +85,7 @@ def canonical_url(url: Column) -> Column:
     path = F.regexp_replace(F.when(part(url, 3) == "", "/").otherwise(part(url, 3)), "/{2,}", "/")
     path = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
     whole = F.concat(scheme, F.lit("://"), F.coalesce(host_of(url), F.lit("")), F.when(keep_port, F.concat(F.lit(":"), port)).otherwise(""), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(part(url, 1) == "", F.trim(url)).when(url.isNull(), "").otherwise(whole)
+    return F.when(part(url, 1) == "", strip(url)).when(url.isNull(), "").otherwise(whole)
 
 
 def geo_scope(url: Column) -> Column:

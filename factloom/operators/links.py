@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.functions.text import content_hash, engagement
-from factloom.functions.urls import canonical_url
+from factloom.functions.urls import canonical_url, strip
 
 
 def url_key(canonical: Column, url: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(F.nullif(F.trim(canonical), F.lit("")), url)))
+    return F.lower(strip(F.coalesce(F.nullif(strip(canonical), F.lit("")), url)))
 
 
 def first_per(df: DataFrame, keys: list[str], order: str = "link_id") -> DataFrame:

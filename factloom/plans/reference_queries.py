@@ -48,6 +48,10 @@ def quoted(words: list[str]) -> str:
 
 c = F.col
 
+def strip_sql_blank(x: str) -> str:
+    return rf"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+
+
 # --- URL parts in SQL ---------------------------------------------------------------------------
 _P = U.SPLIT
 _HOST = r"nullif(regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract({u}, '" + _P + r"', 2)), '^.*@', ''), ':\d*$', ''), '^www\.', ''), '')"
@@ -62,8 +66,9 @@ def _enc(x: str) -> str:
 
 
 CANON = rf"""
+p0 as (select * replace (regexp_replace(url, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') as url) from links),
 pu as (select *, regexp_extract(url, '{_P}', 1) as _s, regexp_extract(url, '{_P}', 2) as _n, regexp_extract(url, '{_P}', 3) as _p, regexp_extract(url, '{_P}', 4) as _q,
-  {host_sql()} as _h from links),
+  {host_sql()} as _h from p0),
 pq as (select *, regexp_extract(_n, ':(\d+)$', 1) as _port,
   array_to_string(list_transform(list_sort(list_filter(list_transform(list_filter(string_split(_q, '&'), lambda p: regexp_matches(p, '^[^=]+=.+$')),
     lambda p: struct_pack(k := {_enc("split_part(p, '=', 1)")}, v := {_enc("regexp_replace(p, '^[^=]*=', '')")})), lambda s: lower(s.k) not in ({quoted(U.TRACKING)}))),
@@ -74,7 +79,7 @@ cl as (select * exclude (_s, _n, _p, _q, _h, _port, _qq, _pp), case when url is
   || case when length(_pp) > 1 then regexp_replace(_pp, '/+$', '') else _pp end || case when coalesce(_qq, '') <> '' then '?' || _qq else '' end end as canon from pq)"""
 
 scalar("canonical_url", "links", "link_id", lambda: {"canon": U.canonical_url(c("url"))}, f"with {CANON} select link_id, canon from cl")
-scalar("host_path", "links", "link_id", lambda: {"host": U.host_of(c("url")), "path": U.path_of(c("url"))}, f"select link_id, {host_sql()} as host, lower(regexp_extract(url, '{_P}', 3)) as path from links")
+scalar("host_path", "links", "link_id", lambda: {"host": U.host_of(c("url")), "path": U.path_of(c("url"))}, f"with t as (select link_id, {strip_sql_blank('url')} as url from links) select link_id, {host_sql()} as host, lower(regexp_extract(url, '{_P}', 3)) as path from t")
 
 _GEO = rf"""case when {host_sql()} is null then 'unknown' when regexp_matches({host_sql()}, '(?:{alts(U.INDIA_TLDS)})$') or regexp_matches({host_sql()}, '(?:^|\.)(?:{alts(U.INDIA_HOSTS)})$')
  or (contains({host_sql()}, 'reddit.com') and regexp_extract(lower(regexp_extract(url, '{_P}', 3)), '/r/([a-z0-9_]+)', 1) in ({quoted(U.INDIA_SUBREDDITS)}))
@@ -115,7 +120,7 @@ scalar(
 
 
 def norm_sql(x: str) -> str:
-    return rf"trim(regexp_replace(lower(coalesce({x}, '')), '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace(lower(coalesce({x}, '')), '[\s\p{{Z}}]+', ' ', 'g'))"
 
 
 def hash_sql(title: str, body: str) -> str:
@@ -265,9 +270,9 @@ def batch_preview(spark, sf_dir):
     return H.preview(table(spark, sf_dir, "hypotheses"))
 
 
-@query(r"select row_id, try_cast(trim(regexp_extract(raw_line, '([^,]*)$', 1)) as int) as last_int from hypothesis_lines")
+@query(f"with t as (select row_id, {strip_sql_blank("regexp_extract(raw_line, '([^,]*)$', 1)")} as x from hypothesis_lines) select row_id, case when regexp_matches(x, '^[+-]?[0-9]+$') then try_cast(x as int) end as last_int from t")
 def try_int(spark, sf_dir):
-    return table(spark, sf_dir, "hypothesis_lines").select("row_id", F.trim(F.regexp_extract("raw_line", "([^,]*)$", 1)).try_cast("int").alias("last_int"))
+    return table(spark, sf_dir, "hypothesis_lines").select("row_id", U.strip(F.regexp_extract("raw_line", "([^,]*)$", 1)).try_cast("int").alias("last_int"))
 
 
 _HTEXT = "lower(concat_ws(' ', statement, rationale, core_problem_statement))"
@@ -398,7 +403,7 @@ def synthesis_candidates(spark, sf_dir):
 
 
 # --- dedup and clusters -----------------------------------------------------------------------------
-_KEY = "lower(trim(coalesce(nullif(trim(canonical_url), ''), url)))"
+_KEY = f"lower({strip_sql_blank(f"coalesce(nullif({strip_sql_blank('canonical_url')}, ''), url)")})"
 
 
 @query(f"select link_id from (select link_id, row_number() over (partition by hypothesis_id, channel, {_KEY} order by link_id) as n, {_KEY} as k from links) where n = 1 and k <> ''")
@@ -500,9 +505,9 @@ def channel_coverage(spark, sf_dir):
     return seen.where("f and a").select("hypothesis_id", "channel")
 
 
-@query("select link_id from (select link_id, row_number() over (partition by lower(trim(title)) order by link_id) as n from links where length(trim(title)) between 8 and 240) where n = 1")
+@query(f"with t as (select link_id, {strip_sql_blank('title')} as title from links) select min(link_id) as link_id from t where length(title) between 8 and 240 group by lower(title)")
 def paa_noise(spark, sf_dir):
-    links = table(spark, sf_dir, "links").select("link_id", F.trim("title").alias("t")).where("length(t) between 8 and 240")
+    links = table(spark, sf_dir, "links").select("link_id", U.strip(c("title")).alias("t")).where("length(t) between 8 and 240")
     return links.groupBy(F.lower("t").alias("k")).agg(F.min("link_id").alias("link_id")).select("link_id")
 
 
@@ -605,5 +610,5 @@ def event_log(spark, sf_dir):
 def ttl_lru_cache(spark, sf_dir):
     """Lookups of each key and those a cache of one hour since the last lookup answers."""
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    gap = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / 1e6
+    gap = (F.unix_micros(c("ts").cast("timestamp")) - F.unix_micros(F.lag(c("ts").cast("timestamp")).over(w))) / 1e6
     return table(spark, sf_dir, "events").select("user_id", "event_type", gap.alias("gap")).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("lookups"), F.count_if(c("gap") <= 3600).alias("hits"))
