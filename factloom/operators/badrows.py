@@ -123,7 +123,7 @@ def _bulk(records: list[str], names: list[str]) -> pa.Table | None:
 
 def parse_block(records: list[str], names: list[str] | None) -> list[tuple[str | None, list[str] | None]]:
     """(reason, fields) of each record: columnar where a block allows it, bisected where it does not."""
-    if names is None or len(records) == 1:
+    if names is None or len(records) <= 1:
         return [diagnose(r, names) for r in records]
     clean = [(r or "").removesuffix("\r") for r in records]
     if (out := _bulk(clean, names)) is not None:
