@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from factloom.session import need, ship
 
 Q = 10
-#: Half-overlapping diagonal bands are this wide; hits farther apart than GAP start a new stretch.
-BAND, GAP = 64, 60
+#: Half-overlapping diagonal bands are this wide; hits farther apart than GAP, or whose diagonals
+#: differ by more than DRIFT, start a new stretch.
+BAND, GAP, DRIFT = 64, 60, 24
 #: Edits allowed per character: in the filter's bound, and in the verified alignment.
 FILTER_EDITS, VERIFY_EDITS = 0.06, 0.20
 #: Share of a passage that a stretch, and the two best stretches together, must cover.
@@ -118,11 +119,15 @@ def stretches(batch: list[np.ndarray], index: Index) -> dict[str, np.ndarray]:
             ok = count >= index.need[item[order][start]]
             keep[order] |= np.repeat(ok, np.diff(np.r_[start, len(b)]))
     doc, item, i, j = doc[keep], item[keep], i[keep], j[keep]
-    order = np.lexsort((j, (j - i + shift) // BAND, item, doc))
-    doc, item, i, j = doc[order], item[order], i[order], j[order]
     if not len(doc):
         return {k: np.empty(0, np.int64) for k in ("doc", "item", "i0", "i1", "j0", "j1")}
-    same = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1])
+    # hits of one alignment drift slowly across diagonals; a jump (as in repetitive passages) starts another
+    order = np.lexsort((j, j - i, item, doc))
+    doc, item, i, j = doc[order], item[order], i[order], j[order]
+    track = np.cumsum(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(j - i) > DRIFT)])
+    order = np.lexsort((i, j, track))
+    doc, item, i, j, track = doc[order], item[order], i[order], j[order], track[order]
+    same = track[1:] == track[:-1]
     near = (np.abs(np.diff(j)) <= GAP) & (np.abs(np.diff(i)) <= GAP)
     start = np.flatnonzero(np.r_[True, ~(same & near)])
     return {
