@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.session import need, ship, spread
+from factloom.session import cut, need, ship, spread
 
 #: Closed-class words by language, which head the rank-frequency curve of any prose. Fixed values.
 FUNCTION_WORDS = {
@@ -124,9 +124,9 @@ def find_stuffed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     ship(docs.sparkSession)
     need(docs, [id_col, text_col])
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("length(text) > 0").distinct()
-    own = own.repartition(spread(docs.sparkSession), "id")
-    flagged = extremes(curves(own, "id", "text"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("length(text) > 0")
+    own = own.repartition(spread(docs.sparkSession), "id").distinct()  # equal rows share a partition by now
+    flagged = extremes(cut(curves(own, "id", "text")))
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
