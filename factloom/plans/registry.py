@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import data_problems, reference_queries
+from factloom.plans import data_problems, more_queries, reference_queries
 
-QUERIES = {**reference_queries.QUERIES, **data_problems.QUERIES}
-ORACLES = {**reference_queries.ORACLES, **data_problems.ORACLES}
+QUERIES = {**reference_queries.QUERIES, **more_queries.QUERIES, **data_problems.QUERIES}
+ORACLES = {**reference_queries.ORACLES, **more_queries.ORACLES, **data_problems.ORACLES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
