@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -13,6 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_FOLDERS: set[str] = set()
+
+
 def get_spark(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session with the settings the engine expects (UTC, AQE, Arrow)."""
     return (
@@ -50,10 +54,23 @@ def spread(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
+def _forget(spark: SparkSession, folder: str) -> None:
+    """Remove the tables of cut() when the program ends in good order."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 — the session is gone already
+        return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and the rows survive a lost executor."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark)}/factloom-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_forget, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
