@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from factloom.session import cut, need, ship
 
@@ -132,9 +133,9 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, id_col:
     chosen = rated.join(F.broadcast(table), "source").select(id_col, "source", "n_tokens", F.round("rate", 6).alias("rate"), copies.alias("copies")).where("copies > 0")
     asked = spark.createDataFrame([(s, share[s], bool(s in have and cap[s] * have[s] >= share[s] * total * (1 - 1e-9))) for s in share] or [("", 0.0, False)], "source string, target_share double, reachable boolean")
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.sum("copies").alias("n_copies"))
-    sums = got.agg(F.sum("tokens").alias("all_tokens"))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "n_docs", "n_copies")]
-    shares = asked.where("source <> ''").join(got, "source", "left").crossJoin(F.broadcast(sums)).select(
-        "source", "target_share", *zero, F.round(F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"), "reachable"
-    )  # fmt: skip — one row of sums
+    whole_sum = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # one row a source
+    shares = asked.where("source <> ''").join(got, "source", "left").select(
+        "source", "target_share", *zero, F.round(F.coalesce(F.col("tokens") / whole_sum, F.lit(0.0)), 6).alias("actual_share"), "reachable"
+    )
     return chosen, shares

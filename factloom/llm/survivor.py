@@ -103,7 +103,7 @@ def dependence(a: float, b: float, kt: float, kf: float, kd: float, n_false: int
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
 
 
-def fuse(clusters: DataFrame, links: DataFrame, fields: Sequence[str] = ("title", "snippet", "creator", "view_count"), rounds: int = 3, n_false: int = 10, copy_rate: float = 0.8, max_sources: int = 1000) -> DataFrame:
+def fuse(clusters: DataFrame, links: DataFrame, fields: Sequence[str] = ("title", "snippet", "creator", "view_count"), rounds: int = 3, n_false: int = 10, copy_rate: float = 0.8, max_sources: int = 100) -> DataFrame:
     """Bayesian fusion with copy detection: the maximum-posterior value of each field.
 
     Out: (cluster_key, field_name, link_id, posterior, n_sources, n_values); link_id is
@@ -127,18 +127,17 @@ def fuse(clusters: DataFrame, links: DataFrame, fields: Sequence[str] = ("title"
         order = sorted(names, key=lambda s: (-accuracy[s], s))
         vote = {s: math.log(n_false * accuracy[s] / (1 - accuracy[s])) for s in names}
         table = spark.createDataFrame([(s, float(i), vote[s]) for i, s in enumerate(order)], "source string, place double, vote double")
-        pairs = spark.createDataFrame([(a, b, p) for (a, b), p in depends.items()] or [("", "", 0.0)], "source string, other string, p double")
+        close = {f"{a}\u0001{b}": p for (a, b), p in depends.items() if p > 0.01}
+        dep = F.create_map(*[F.lit(x) for kv in (close or {"": 0.0}).items() for x in kv])
         per_value = (
             claims.join(F.broadcast(table), "source").groupBy(*item, "value")
             .agg(F.collect_list(F.struct("place", "source", "vote")).alias("who"), F.min("link_id").alias("link_id"), F.max("observed_at").alias("observed_at"))
         )  # fmt: skip — at most max_sources entries a value, as claims hold a source once
-        lone = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws("\u0001", "source", "other"), "p"))))
-        known = pairs.agg(lone.alias("dep"))
         freedom = lambda x: F.aggregate(
             F.filter("who", lambda y: y["place"] < x["place"]), F.lit(1.0),
-            lambda acc, y: acc * (1 - copy_rate * F.coalesce(F.try_element_at("dep", F.concat_ws("\u0001", x["source"], y["source"])), F.lit(0.0))),
+            lambda acc, y: acc * (1 - copy_rate * F.coalesce(F.try_element_at(dep, F.concat_ws("\u0001", x["source"], y["source"])), F.lit(0.0))),
         )
-        scored = per_value.join(F.broadcast(known)).withColumn("score", F.aggregate("who", F.lit(0.0), lambda acc, x: acc + x["vote"] * freedom(x)))
+        scored = per_value.withColumn("score", F.aggregate("who", F.lit(0.0), lambda acc, x: acc + x["vote"] * freedom(x)))
         top = scored.groupBy(*item).agg(F.max("score").alias("top"), F.count(F.lit(1)).alias("n_values"))
         scored = scored.join(top, item)
         weight = F.exp(F.col("score") - F.col("top"))
