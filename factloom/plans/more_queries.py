@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.functions import text as T
 from factloom.functions import urls as U
 from factloom.operators import hypotheses as H
 from factloom.operators import links as L
+from factloom.operators import queries as Q
 from factloom.operators import topics as P
 from factloom.plans import export
 from factloom.plans.reference_queries import CANON, ORACLES, QUERIES, _CLUSTERS, _htext, _HTEXT, host_sql, members, query, quoted, scalar
@@ -151,4 +153,64 @@ def safe_filename(spark, sf_dir):
     return table(spark, sf_dir, "hypotheses").select(F.regexp_replace(F.concat("hypothesis_id", F.lit(" "), F.coalesce("dimension", F.lit(""))), r"[^A-Za-z0-9._\-]", "_").alias("name"), "hypothesis_id")
 
 
+# --- query texts --------------------------------------------------------------------------------------
+_WORDSPLIT = r"regexp_split_to_array(t, '[^\p{L}\p{N}_]+')"
+
+
+def _lex(terms: list[str]) -> str:
+    one, many = [t for t in terms if " " not in t and "-" not in t], [t for t in terms if " " in t or "-" in t]
+    more = f"list_filter([{quoted(many)}], lambda x: contains(t, x))" if many else "[]::varchar[]"
+    return f"list_sort(list_concat(list_filter([{quoted(one)}], lambda x: list_contains({_WORDSPLIT}, x)), {more}))"
+
+
+_SLOTS = rf"""{_FOUND}, pe as (select hypothesis_id, unnest(l) as entity, generate_subscripts(l, 1) as i from ef), pf as (select hypothesis_id, entity, min(i) as i from pe group by 1, 2),
+pl as (select hypothesis_id, list(lower(entity) order by i) as e from pf group by 1), tx as (select hypothesis_id, {_HTEXT} as t from hypotheses),
+sl as (select hypothesis_id, e[1] as b, e[2:6] as alts, {_lex(H.PAINS)} as pains, {_lex(H.ASPIRATIONS)} as asp,
+ coalesce(list_filter([{_TERMS}], lambda x: case when regexp_matches(x, '[ -]') then contains(t, x) else list_contains({_WORDSPLIT}, x) end)[1], e[1]) as cat from pl join tx using (hypothesis_id)),
+qa as (select hypothesis_id, list_concat(list_concat(list_concat(
+ list_transform(case when len(pains) > 0 then list_transform(pains[1:3], lambda p: b || ' ' || p) else [b || ' review negative'] end, lambda x: struct_pack(a := 1, x := x)),
+ list_transform(alts[1:3], lambda y: struct_pack(a := 2, x := 'why i switched from ' || b || ' to ' || y))),
+ list_concat(list_transform(alts[1:3], lambda y: struct_pack(a := 3, x := b || ' vs ' || y || ' {Q.DIMENSION}')), list_transform(asp[1:2], lambda y: struct_pack(a := 4, x := 'best ' || cat || ' for ' || y)))),
+ [struct_pack(a := 6, x := 'why i love ' || b), struct_pack(a := 6, x := b || ' is actually good'), {', '.join(f"struct_pack(a := 7, x := cat || ' {r}')" for r in Q.ROLES)}, {', '.join(f"struct_pack(a := 8, x := b || ' {y}')" for y in Q.YEARS)}, struct_pack(a := 8, x := b || ' controversy')]) as l from sl),
+qb as (select hypothesis_id, unnest(l) as r, generate_subscripts(l, 1) as i from qa), qc as (select hypothesis_id, r.x as text, min(i) as i, min_by(r.a, i) as archetype from qb group by 1, 2),
+qd as (select *, row_number() over (partition by hypothesis_id order by i) - 1 as pos from qc)"""
+
+
+@query(f"with {_SLOTS} select hypothesis_id, pos, archetype, text from qd where pos < {Q.CAP}")
+def synthesize_queries(spark, sf_dir):
+    return Q.synthesize(table(spark, sf_dir, "hypotheses")).withColumn("pos", c("pos").cast("bigint"))
+
+
+@query(f"with {_SLOTS} select archetype, count(*) as n from qd where pos < {Q.CAP} group by 1")
+def gen_archetype(spark, sf_dir):
+    return Q.synthesize(table(spark, sf_dir, "hypotheses")).groupBy("archetype").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {_SLOTS} select hypothesis_id, b as brand, array_to_string(alts, ',') as alternatives, array_to_string(pains[1:3], ',') as pains, cat as category from sl where b is not null")
+def assemble_slots(spark, sf_dir):
+    return Q.slots(table(spark, sf_dir, "hypotheses")).where("brand is not null").select("hypothesis_id", "brand", F.array_join("alternatives", ",").alias("alternatives"), F.array_join(F.slice("pains", 1, 3), ",").alias("pains"), "category")
+
+
+@query()
+def compile_terms(spark, sf_dir):
+    return table(spark, sf_dir, "hypotheses").select("hypothesis_id", T.term_pattern(T.signal_terms(T.list_cell(c("expected_signals")))).alias("pattern"))
+
+
+scalar("api_duration_band", "links", "link_id", lambda: {"short_band": F.coalesce(c("duration_sec") <= 181, F.lit(True)), "long_band": F.coalesce(c("duration_sec") >= 182, F.lit(True))}, "select link_id, coalesce(duration_sec <= 181, true) as short_band, coalesce(duration_sec >= 182, true) as long_band from links")
+scalar(
+    "parse_iso_duration", "links", "link_id", lambda: {"seconds": T.iso_seconds(F.concat(F.lit("PT"), F.floor(c("duration_sec") / 60).cast("string"), F.lit("M"), (c("duration_sec") % 60).cast("string"), F.lit("S")))},
+    "select link_id, nullif(duration_sec, 0) as seconds from links",
+)
+scalar(
+    "query_urls", "links", "link_id", lambda: {"search_url": F.concat(F.lit("https://www.google.com/search?q="), F.url_encode(F.regexp_replace("query_text", "[^A-Za-z0-9 ]", "")))},
+    "select link_id, 'https://www.google.com/search?q=' || replace(url_encode(regexp_replace(query_text, '[^A-Za-z0-9 ]', '', 'g')), '%20', '+') as search_url from links",
+)
+
+
+@query("select l.hypothesis_id, h.dimension, count(*) as n_links from links l join hypotheses h using (hypothesis_id) where l.verdict = 'supports' group by 1, 2")
+def member_links(spark, sf_dir):
+    n = table(spark, sf_dir, "links").where("verdict = 'supports'").groupBy("hypothesis_id").agg(F.count(F.lit(1)).alias("n_links"))
+    return n.join(table(spark, sf_dir, "hypotheses").select("hypothesis_id", "dimension"), "hypothesis_id").select("hypothesis_id", "dimension", "n_links")
+
+
 __all__ = ["ORACLES", "QUERIES"]
