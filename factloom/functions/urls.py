@@ -71,21 +71,36 @@ def _encode(v: Column) -> Column:
     return F.replace(F.replace(F.url_encode(F.coalesce(F.try_url_decode(v), v)), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def canonical_url(url: Column) -> Column:
     """Scheme and host in lower case without www. and default port; tracking and blank parameters
     dropped, the rest decoded, sorted and encoded again; single slashes, none at the end; no fragment.
     Text without '://' is trimmed; null gives ''. Idempotent."""
-    scheme = F.lower(part(url, 1))
-    port = F.regexp_extract(part(url, 2), r":(\d+)$", 1)
-    keep_port = (port != "") & ~((scheme == "https") & (port == "443")) & ~((scheme == "http") & (port == "80"))
-    pairs = F.filter(F.split(part(url, 4), "&"), lambda p: p.rlike("^[^=]+=.+$"))
-    named = F.transform(pairs, lambda p: F.struct(_encode(F.substring_index(p, "=", 1)).alias("k"), _encode(F.regexp_replace(p, "^[^=]*=", "")).alias("v")))
-    kept = F.array_sort(F.filter(named, lambda s: ~F.lower(s["k"]).isin(*TRACKING)))
-    query = F.array_join(F.transform(kept, lambda s: F.concat(s["k"], F.lit("="), s["v"])), "&")
-    path = F.regexp_replace(F.when(part(url, 3) == "", "/").otherwise(part(url, 3)), "/{2,}", "/")
-    path = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
-    whole = F.concat(scheme, F.lit("://"), F.coalesce(host_of(url), F.lit("")), F.when(keep_port, F.concat(F.lit(":"), port)).otherwise(""), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    return F.when(part(url, 1) == "", strip(url)).when(url.isNull(), "").otherwise(whole)
+
+    def pieces(u: Column) -> Column:
+        get = lambda k: F.regexp_extract(u, SPLIT, k)
+        return F.struct(u.alias("u"), F.lower(get(1)).alias("s"), F.lower(get(2)).alias("n"), get(3).alias("p"), get(4).alias("q"))
+
+    def clean(p: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(p["n"], r"^.*@", ""), r":\d*$", ""), r"^www\.", "")
+        pairs = F.filter(F.split(p["q"], "&"), lambda x: x.rlike("^[^=]+=.+$"))
+        named = F.transform(pairs, lambda x: F.struct(_encode(F.substring_index(x, "=", 1)).alias("k"), _encode(F.regexp_replace(x, "^[^=]*=", "")).alias("v")))
+        kept = F.array_sort(F.filter(named, lambda x: ~F.lower(x["k"]).isin(*TRACKING)))
+        query = F.when(p["q"] == "", "").otherwise(F.array_join(F.transform(kept, lambda x: F.concat(x["k"], F.lit("="), x["v"])), "&"))
+        path = F.regexp_replace(F.when(p["p"] == "", "/").otherwise(p["p"]), "/{2,}", "/")
+        return F.struct(p["u"].alias("u"), p["s"].alias("s"), bare.alias("h"), F.regexp_extract(p["n"], r":(\d+)$", 1).alias("port"), path.alias("p"), query.alias("q"))
+
+    def join(r: Column) -> Column:
+        keep = (r["port"] != "") & ~((r["s"] == "https") & (r["port"] == "443")) & ~((r["s"] == "http") & (r["port"] == "80"))
+        path = F.when(F.length(r["p"]) > 1, F.regexp_replace(r["p"], "/+$", "")).otherwise(r["p"])
+        whole = F.concat(r["s"], F.lit("://"), r["h"], F.when(keep, F.concat(F.lit(":"), r["port"])).otherwise(""), path, F.when(r["q"] != "", F.concat(F.lit("?"), r["q"])).otherwise(""))
+        return F.when(r["s"] == "", r["u"]).otherwise(whole)
+
+    return F.coalesce(_let(_let(_let(strip(url), pieces), clean), join), F.lit(""))
 
 
 def geo_scope(url: Column) -> Column:

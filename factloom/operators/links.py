@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from factloom.functions.text import content_hash, engagement
 from factloom.functions.urls import canonical_url, strip
+from factloom.session import cut
 
 
 def url_key(canonical: Column, url: Column) -> Column:
@@ -63,10 +64,10 @@ def clusters(links: DataFrame, scope: str = "hypothesis_id") -> DataFrame:
     search for components. A bucket without a hash stands alone. ``cluster`` names the group; every step is
     an aggregate with partial results, joined back by equality.
     """
-    base = links.select(
+    base = cut(links.select(
         F.coalesce(scope, F.lit("")).alias("scope"), "link_id", F.md5(F.coalesce(F.nullif(canonical_url(F.col("url")), F.lit("")), F.concat(F.lit("\u0000"), F.col("link_id").cast("string")))).alias("bucket"),
         content_hash(F.col("title"), F.col("snippet")).alias("hash"), representative_key().alias("key"),
-    )
+    ))  # fmt: skip — the keys are read twice
     buckets = base.groupBy("scope", "bucket").agg(F.max(F.struct("key", "hash")).alias("top"))
     named = buckets.select("scope", "bucket", F.coalesce(F.concat(F.lit("h:"), F.col("top.hash")), F.concat(F.lit("u:"), F.col("bucket"))).alias("cluster"), F.col("top.key").alias("key"))
     heads = named.groupBy("scope", "cluster").agg((-F.max("key")["neg"]).alias("representative"))

@@ -54,6 +54,12 @@ def spread(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give few partitions; for steps whose work outweighs moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def _forget(spark: SparkSession, folder: str) -> None:
     """Remove the tables of cut() when the program ends in good order."""
     try:
