@@ -18,7 +18,7 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import need, ship
+from factloom.session import need, ship, widen
 
 #: ISO 639-1 code, ISO 639-2 and -3 codes, English and native name.
 LANGUAGES = (
@@ -319,4 +319,4 @@ def segment_languages(df: DataFrame, profiles: Profiles, id_col: str, fields: Se
 
     label = F.col(label_col) if label_col else F.lit(None).cast("string")
     schema = f"{id_col} {kinds[id_col]}, field_name string, seg_no int, lang string, confidence double, label_lang string, words int"
-    return df.select(id_col, *fields, label.alias("_label")).mapInPandas(run, schema)
+    return widen(df.select(id_col, *fields, label.alias("_label"))).mapInPandas(run, schema)

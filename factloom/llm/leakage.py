@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import need, ship
+from factloom.session import need, ship, widen
 
 Q = 10
 #: Half-overlapping diagonal bands are this wide; hits farther apart than GAP, or whose diagonals
@@ -236,4 +236,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                 yield pd.DataFrame({id_col: some[id_col].to_numpy()[doc[ok]], item_id: index.ids[item[ok]], "share": got[ok]})
 
     kinds, own = dict(docs.dtypes), dict(items.dtypes)
-    return docs.select(id_col, text_col).where(f"length({text_col}) > 0").mapInPandas(run, f"{id_col} {kinds[id_col]}, {item_id} {own[item_id]}, share double")
+    return widen(docs.select(id_col, text_col).where(f"length({text_col}) > 0")).mapInPandas(run, f"{id_col} {kinds[id_col]}, {item_id} {own[item_id]}, share double")

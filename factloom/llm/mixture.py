@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.session import cut, need, ship
+from factloom.session import cut, need, ship, widen
 
 #: Folder of the public vocabulary files; a parameter, never part of the package.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, id_col:
     share = {r["source"]: r["target_share"] / whole for r in plan}
     cap = {r["source"]: max(1, int(r["max_repeats"] or 1)) for r in plan}
     listed = spark.createDataFrame([(s,) for s in share] or [("",)], "source string")
-    slim = docs.select(F.col(id_col), source_key(F.col("source")).alias("source"), "text").join(F.broadcast(listed), "source")
+    slim = widen(docs.select(id_col, "source", "text")).select(F.col(id_col), source_key(F.col("source")).alias("source"), "text").join(F.broadcast(listed), "source")
     sized = cut(with_tokens(slim, "text", folder).drop("text").where("n_tokens > 0").withColumn("u", F.pmod(F.xxhash64(F.lit("mix"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)))
     sizes = cut(sized.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("n")))
     have = {r["source"]: float(r["t"]) for r in sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("n_tokens")).alias("t")).collect()}
