@@ -125,6 +125,7 @@ def llm_verdict_batch(spark, sf_dir):
 
 @query(f"with {_CLUSTERS}, s as (select sc, representative, count(*) as size from cx group by 1, 2), o as (select *, row_number() over (partition by sc order by size desc, representative) as place from s) select sc as hypothesis_id, representative, size, place from o where place <= 100")
 def cluster_order(spark, sf_dir):
+    """A report of the 100 largest clusters of each hypothesis."""
     sizes = members(spark, sf_dir).groupBy("hypothesis_id", "representative").agg(F.count(F.lit(1)).alias("size"))
     w = Window.partitionBy("hypothesis_id").orderBy(F.desc("size"), "representative")
     return sizes.withColumn("place", F.row_number().over(w)).where("place <= 100").withColumn("place", c("place").cast("bigint"))

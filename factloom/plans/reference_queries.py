@@ -389,6 +389,7 @@ def triage(spark, sf_dir):
 
 @query("select hypothesis_id, link_id, place from (select *, row_number() over (partition by hypothesis_id order by case verdict when 'supports' then 0 when 'refutes' then 1 else 2 end, confidence desc nulls last, link_id) as place from links) where place <= 100")
 def verdict_rank(spark, sf_dir):
+    """A report of the 100 best links of each hypothesis: verdict, then confidence, then id."""
     w = Window.partitionBy("hypothesis_id").orderBy(L.verdict_place(c("verdict")), F.desc_nulls_last("confidence"), "link_id")
     return table(spark, sf_dir, "links").withColumn("place", F.row_number().over(w)).where("place <= 100").select("hypothesis_id", "link_id", c("place").cast("bigint"))
 
@@ -396,6 +397,7 @@ def verdict_rank(spark, sf_dir):
 @query("""with s as (select hypothesis_id, link_id, verdict, row_number() over (partition by hypothesis_id, verdict order by confidence desc nulls last, link_id) as n from links where verdict in ('supports', 'refutes', 'tangential')),
 h as (select hypothesis_id, bool_or(verdict <> 'tangential') as sided from s group by 1) select s.hypothesis_id, link_id, verdict from s join h on h.hypothesis_id is not distinct from s.hypothesis_id where n <= 12 and (verdict <> 'tangential') = sided""")
 def synthesis_candidates(spark, sf_dir):
+    """The twelve surest links of each side of a hypothesis; tangential ones only where there is no side."""
     w = Window.partitionBy("hypothesis_id", "verdict").orderBy(F.desc_nulls_last("confidence"), "link_id")
     top = table(spark, sf_dir, "links").where(c("verdict").isin(*L.VERDICT_ORDER)).withColumn("n", F.row_number().over(w)).where("n <= 12")
     sided = F.bool_or(c("verdict") != "tangential").over(Window.partitionBy("hypothesis_id"))  # at most 36 rows a hypothesis by now
@@ -437,6 +439,7 @@ def fallback_union(spark, sf_dir):
 
 @query("select hypothesis_id, link_id from (select hypothesis_id, link_id, row_number() over (partition by hypothesis_id order by link_id) as n from links where contains(url, 'forum.')) where n <= 20")
 def pool_pick(spark, sf_dir):
+    """The first twenty pooled links of each hypothesis on forum hosts: the count asked of the pool."""
     w = Window.partitionBy("hypothesis_id").orderBy("link_id")
     return table(spark, sf_dir, "links").where(c("url").contains("forum.")).select("hypothesis_id", "link_id", F.row_number().over(w).alias("n")).where("n <= 20").drop("n")
 
