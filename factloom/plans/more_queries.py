@@ -144,9 +144,9 @@ def results_json(spark, sf_dir):
     return export.results_json(table(spark, sf_dir, "links"), table(spark, sf_dir, "hypotheses"))
 
 
-@query("select hypothesis_id, count(*) as n_links, count(distinct channel) as n_channels, min(discovered_at) as first_seen, max(discovered_at) as last_seen from links group by 1")
+@query("select hypothesis_id, count(*) as n_links, count(distinct channel) as n_channels, epoch_us(min(discovered_at)) as first_seen, epoch_us(max(discovered_at)) as last_seen from links group by 1")
 def batch_summary(spark, sf_dir):
-    return table(spark, sf_dir, "links").groupBy("hypothesis_id").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("channel").alias("n_channels"), F.min("discovered_at").alias("first_seen"), F.max("discovered_at").alias("last_seen"))
+    return table(spark, sf_dir, "links").groupBy("hypothesis_id").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("channel").alias("n_channels"), F.unix_micros(F.min("discovered_at")).alias("first_seen"), F.unix_micros(F.max("discovered_at")).alias("last_seen"))
 
 
 @query("select regexp_replace(hypothesis_id || ' ' || coalesce(dimension, ''), '[^A-Za-z0-9._\\-]', '_', 'g') as name, hypothesis_id from hypotheses")
