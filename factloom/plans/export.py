@@ -7,6 +7,9 @@ import html
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.links import VERDICT_ORDER
+from factloom.session import cut, salted_join
+
 
 def flat(df: DataFrame) -> DataFrame:
     """All columns as text: arrays joined by ' | ' on one line, booleans as true and false, fractions with at most six digits, null as ''."""
@@ -26,19 +29,34 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def results_json(links: DataFrame, hypotheses: DataFrame) -> DataFrame:
-    """(core_problem_id, result): per core problem a JSON text of its hypotheses with their verdict counts and best links (at most ten each)."""
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("o"), "link_id"))), 1, 10)
-    # ranks are cut before rows are gathered
-    from pyspark.sql.window import Window
+def results_json(links: DataFrame, hypotheses: DataFrame, chunk: int = 1000) -> DataFrame:
+    """(core_problem_id, hypothesis_id, part, result): a JSON text per hypothesis with its own columns, its verdict counts and all of its links by verdict.
 
-    w = Window.partitionBy("hypothesis_id").orderBy(F.desc_nulls_last("confidence"), "link_id")
-    top = links.select("hypothesis_id", "link_id", "confidence").withColumn("n", F.row_number().over(w)).where("n <= 10")
-    counts = links.groupBy("hypothesis_id").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("supports", "refutes", "tangential")])
-    per = top.groupBy("hypothesis_id").agg(F.transform(best, lambda x: x["link_id"]).alias("links")).join(counts, "hypothesis_id")
-    named = hypotheses.select("hypothesis_id", F.coalesce("core_problem_id", F.lit("_uncategorized")).alias("core_problem_id"), "statement").join(per, "hypothesis_id")
-    rows = F.array_sort(F.collect_list(F.struct("hypothesis_id", "statement", "supports", "refutes", "tangential", "links")))
-    return named.groupBy("core_problem_id").agg(F.to_json(rows).alias("result"))
+    Links come whole, the most confident first; one without a verdict is tangential. A hypothesis without links
+    has empty groups. One with more than ``chunk`` links comes in ``parts`` texts of about that many, split by a
+    hash of the link id, each with the counts of the whole; only links whose hypothesis is not in the table are left out.
+    """
+    links = links.withColumn("_bucket", F.coalesce(F.nullif("verdict", F.lit("")), F.lit("tangential")))
+    always = F.array(*[F.lit(v) for v in VERDICT_ORDER])
+    counts = links.groupBy("hypothesis_id", "_bucket").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(counts.groupBy("hypothesis_id").agg(F.map_from_entries(F.collect_list(F.struct("_bucket", "n"))).alias("_of"), F.sum("n").alias("n")))
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    big = cut(counts.where(F.col("n") > chunk).select("hypothesis_id", parts.alias("_k")))
+    part = F.pmod(F.xxhash64("link_id"), F.coalesce("_k", F.lit(1))).cast("int")
+    order = F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("o"), "link_id", "_bucket", F.struct(*[c for c in links.columns if c != "_bucket"]).alias("link"))
+    held = salted_join(links, big, "hypothesis_id", F.col("link_id")).groupBy("hypothesis_id", part.alias("part")).agg(F.array_sort(F.collect_list(order)).alias("_all"))
+    # parts are named before hypotheses meet their links, so a large hypothesis meets them in many tasks
+    members = hypotheses.join(counts, "hypothesis_id", "left").withColumn("parts", F.coalesce(parts, F.lit(1)))
+    members = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(held, ["hypothesis_id", "part"], "left")
+    known = F.array_union(always, F.array_sort(F.coalesce(F.map_keys("_of"), F.array().cast("array<string>"))))
+    named = F.map_from_arrays(known, F.transform(known, lambda v: F.coalesce(F.try_element_at("_of", v), F.lit(0))))
+    rows = F.coalesce("_all", F.array().cast(held.schema["_all"].dataType))
+    grouped = F.map_from_arrays(known, F.transform(known, lambda v: F.transform(F.filter(rows, lambda x: x["_bucket"] == v), lambda x: x["link"])))
+    problem = F.coalesce("core_problem_id", F.lit("_uncategorized")).alias("core_problem_id")
+    own = [problem if c == "core_problem_id" else F.col(c) for c in hypotheses.columns]
+    result = F.struct(*own, "part", "parts", named.alias("verdict_counts"), grouped.alias("grouped"))
+    options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    return members.select(problem, "hypothesis_id", "part", F.to_json(result, options).alias("result"))
 
 
 def html_report(summary: DataFrame, most: int = 1000) -> str:

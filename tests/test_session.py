@@ -1,5 +1,6 @@
 """Shared helpers: cut tables, salted joins, readable failures."""
 
+import json
 import os
 
 import pytest
@@ -34,3 +35,26 @@ def test_exports(spark, tmp_path):
     export.write_csv(df, str(tmp_path / "out"))
     assert any(f.endswith(".csv") for f in os.listdir(tmp_path / "out"))
     assert "&lt;b&gt;" in export.html_report(spark.createDataFrame([("<b>",)], "t string"))
+
+
+def test_results_json_holds_every_link(spark):
+    verdicts = ["supports", "refutes", "tangential", None, "", "odd"]
+    links = [(i, "h1", verdicts[i % 6], i / 100) for i in range(60)] + [(100, "h2", "supports", None), (101, "h2", "supports", 0.5)]
+    hyp = [("h1", "cp1", "s1"), ("h2", None, "s2"), ("h3", "cp3", "no links")]
+    df = spark.createDataFrame(links, "link_id long, hypothesis_id string, verdict string, confidence double")
+    members = spark.createDataFrame(hyp, "hypothesis_id string, core_problem_id string, statement string")
+    for chunk, parts in ((1000, 1), (8, 8)):
+        rows = export.results_json(df, members, chunk).collect()
+        got: dict = {}
+        for r in rows:
+            out = json.loads(r.result)
+            assert out["core_problem_id"] == r.core_problem_id
+            for v, found in out["grouped"].items():
+                assert [x["confidence"] or 0 for x in found] == sorted((x["confidence"] or 0 for x in found), reverse=True)
+                got.setdefault((r.core_problem_id, r.hypothesis_id), {}).setdefault(v, []).extend(x["link_id"] for x in found)
+            if r.hypothesis_id == "h1":
+                assert out["parts"] == parts and out["verdict_counts"] == {"supports": 10, "refutes": 10, "tangential": 30, "odd": 10}
+        assert {v: sorted(x) for v, x in got["cp1", "h1"].items()} == {v: [i for i in range(60) if (verdicts[i % 6] or "tangential") == v] for v in ("supports", "refutes", "tangential", "odd")}
+        assert sorted(got["_uncategorized", "h2"]["supports"]) == [100, 101]
+        assert got["cp3", "h3"] == {"supports": [], "refutes": [], "tangential": []}
+        assert sum(r.hypothesis_id == "h1" for r in rows) == parts
