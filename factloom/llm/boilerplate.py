@@ -24,6 +24,7 @@ PARAGRAPH = 100
 #: Keys seen on fewer pages are left to their place in the page.
 FEW = 4
 _HOST = re.compile(r"^\s*(?:[a-z][\w+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", re.I)
+_HOST_SQL = "(?i)" + _HOST.pattern
 _WORD = re.compile(r"[\p{L}\p{M}]+")
 #: Lines that name themselves as furniture, for sites too few in a language to compare: adverts, links to more, sharing, a site's word on its
 #: cookies. Fixed values.
@@ -120,8 +121,8 @@ def nodes(text: str, url: str | None, site: str) -> list[tuple[str, str]]:
 def induce(bodies: DataFrame) -> DataFrame:
     """Template verdicts: (site, key as its code, verdict): 't' for template, 'c' for content ('C' if often seen), 'h' for the head of a link list.
 
-    Counts cover all bodies, one a page (host and path; the smallest id of a
-    repeated page). For each language and key, Pearson's statistic over sites compares its pages with the
+    Counts cover all bodies but refetches: bodies of one host and path with the same text count once, whatever
+    their queries; without a usable url each body counts. For each language and key, Pearson's statistic over sites compares its pages with the
     sizes of the sites; only sites that have the key enter the sum, the others add their expectation.
     """
     ship(bodies.sparkSession)
@@ -138,7 +139,10 @@ def induce(bodies: DataFrame) -> DataFrame:
 
     pages = bodies.where("length(text) > 0")
     path = F.lower(F.regexp_replace(F.trim("url"), r"/*(?:[?#].*)?$", ""))
-    first = pages.groupBy(F.coalesce(path, F.lit("")).alias("_p")).agg(F.min_by(F.struct("url", "text"), "body_id").alias("one")).select("one.*")
+    # without a host a path names no page, so such a body is repeated only by its own id
+    page = F.when(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST_SQL, 1) != "", path)
+    alone = F.when(page.isNull(), F.col("body_id"))
+    first = pages.groupBy(page.alias("_p"), alone.alias("_i"), F.xxhash64("text").alias("_t"), F.length("text").alias("_n")).agg(F.min_by(F.struct("url", "text"), "body_id").alias("one")).select("one.*")
     counted = cut(first.repartition(spread(bodies.sparkSession)).mapInPandas(tree, "site string, lang string, kind string, key long, zone string").groupBy("lang", "kind", "key", "site").agg(
         F.count(F.lit(1)).alias("c"), *[F.sum(F.col("zone").contains(z).cast("int")).alias(z) for z in "bamp"],
     ))
@@ -234,7 +238,7 @@ def _by_site(bodies: DataFrame, emit, schema: str, columns: list[str], chunk: in
     ship(bodies.sparkSession)
     own = bodies.select("body_id", "url", "text", *columns).where("length(text) > 0")
     verdicts = cut(induce(own))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^\s*(?:[a-z][\w+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST_SQL, 1))
     labels = F.slice(F.reverse(F.split(F.regexp_replace(host, r"\.+$", ""), r"\.")), 1, 2)
     own = own.withColumn("site", F.array_join(F.reverse(labels), "."))
     sizes = own.groupBy("site").agg(F.count(F.lit(1)).alias("n"))

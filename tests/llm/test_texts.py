@@ -128,6 +128,22 @@ def test_frames(spark):
     assert boilerplate.find_furniture(df.limit(0)).count() == 0
 
 
+def test_frames_of_pages_without_a_path(spark):
+    foot, rows = "write to the office of this house", [(n, u, t, s) for n, u, t, s in pages()]
+    plain = [(f"{t.split(chr(10))[3]}\n{foot}") for _, _, t, _ in rows[:40]]
+    odd = [(5000 + i, [None, "", "no-host/page"][i % 3], t, 200) for i, t in enumerate(plain)]
+    asked = [(6000 + i, f"https://www.asked.example/index.php?id={i}", t.replace(foot, "all rights stay with the asked firm"), 200) for i, t in enumerate(plain)]
+    again = [(7000 + i, "https://www.asked.example/index.php?id=0&ref=x", asked[0][2] + "\nseen in one text only", 200) for i in range(5)]
+    df = spark.createDataFrame(rows + odd + asked + again, BODY)
+    known = {(r.site, r.key): r.verdict for r in boilerplate.induce(df).collect()}
+    assert known["", boilerplate.code("=" + foot)] == "t"
+    assert known["asked.example", boilerplate.code("=all rights stay with the § firm")] == "t"
+    # five refetches of one text are one page
+    assert ("asked.example", boilerplate.code("=seen in one text only")) not in known
+    found = {(r.body_id, r.line_no) for r in boilerplate.find_furniture(df).collect()}
+    assert {(r[0], 2) for r in odd + asked} <= found
+
+
 def test_slots():
     yes = ["Dear {{ name }}, hello", "Order <%= id %> now", "for *|STORE|*", "a __PRICE__ list", "[Insert date here]", "@Model.Name", "%FIRST_NAME% won"]
     no = ['It began with "Dear [First Name]" and', "the software prints {{price}} when a field is empty", "a 5% rise", "see [1] there", "x < y > z", "__init__"[:1]]
