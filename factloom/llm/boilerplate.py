@@ -81,7 +81,7 @@ def code(key: str) -> int:
 
 
 def language(text: str) -> str:
-    words = _WORD.findall(text.lower()[:4000])
+    words = _WORD.findall(text.lower())
     return max(WORDS, key=lambda k: (sum(w in WORDS[k] for w in words), k)).split("-")[0]
 
 

@@ -144,6 +144,10 @@ def test_frames_of_pages_without_a_path(spark):
     assert {(r[0], 2) for r in odd + asked} <= found
 
 
+def test_language_is_that_of_the_whole_text():
+    assert boilerplate.language(f"{DE} " * 80 + f"{EN} " * 200) == "en"
+
+
 def test_slots():
     yes = ["Dear {{ name }}, hello", "Order <%= id %> now", "for *|STORE|*", "a __PRICE__ list", "[Insert date here]", "@Model.Name", "%FIRST_NAME% won"]
     no = ['It began with "Dear [First Name]" and', "the software prints {{price}} when a field is empty", "a 5% rise", "see [1] there", "x < y > z", "__init__"[:1]]
