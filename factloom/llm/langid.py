@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex as re
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.session import need, ship, widen
@@ -66,6 +66,13 @@ def label_code(label: str | None) -> str | None:
     return _NAMES.get(head)
 
 
+def code_of(label: Column) -> Column:
+    """label_code as an expression."""
+    names = F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair])
+    bare = F.lower(F.regexp_replace(label, r"(?U)^\s+|\s+$", ""))
+    return F.coalesce(F.try_element_at(names, bare), F.try_element_at(names, F.regexp_extract(bare, r"(?U)^[^-_\s(]*", 0)))
+
+
 def fold(text: str) -> str:
     """Lower case without the accents of Latin letters; other scripts keep their marks."""
     return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not "̀" <= c <= "ͯ")
@@ -235,15 +242,13 @@ def train_profiles(videos: DataFrame, fields: Sequence[str], id_col: str = "link
     The sample is bounded: about ``max_rows`` rows of each language label, chosen by a hash of the
     id, so it is the same at every run and needs no sort. Everything else the operator does covers all rows.
     """
-    label = F.lower(F.trim(label_col))
-    spelled = {r[0]: r["count"] for r in videos.groupBy(label.alias("l")).count().orderBy(F.desc("count"), "l").limit(500).collect() if label_code(r[0])}
-    if not spelled:
+    code = code_of(F.col(label_col))
+    # one row per language of the table of names, however many spellings
+    sizes = {r[0]: r["count"] for r in videos.groupBy(code.alias("c")).count().where("c is not null").collect()}
+    if not sizes:
         return learn([])
-    sizes = Counter()
-    for name, n in spelled.items():
-        sizes[label_code(name)] += n
-    share = F.create_map(*[x for name in spelled for x in (F.lit(name), F.lit(min(1.0, max_rows / sizes[label_code(name)])))])
-    picked = videos.where(F.pmod(F.xxhash64(F.lit("profiles"), F.col(id_col)), F.lit(1_000_000)) < F.try_element_at(share, label) * 1_000_000)
+    share = F.create_map(*[x for name, n in sorted(sizes.items()) for x in (F.lit(name), F.lit(min(1.0, max_rows / n)))])
+    picked = videos.where(F.pmod(F.xxhash64(F.lit("profiles"), F.col(id_col)), F.lit(1_000_000)) < F.try_element_at(share, code) * 1_000_000)
     rows = picked.select(label_col, *fields).limit(2 * max_rows * len(sizes)).collect()
     pairs = []
     for row in rows:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import boilerplate, langid, leakage, mixture, residue, stuffing
 
@@ -27,6 +28,17 @@ def test_seed_profiles_and_segments(spark):
     assert langid.train_profiles(df.limit(0), ["caption"]).names == p.names
 
 
+def test_labels_beyond_the_500_most_frequent_spellings(spark):
+    odd = ["en-US", "Hindi", " DEU ", "pt_BR", "und", "zxx", "", None, "??", "français", "tr (TR)", "\ttr\u00a0"]
+    df = spark.createDataFrame([(x,) for x in odd], "lang string").select("lang", langid.code_of(F.col("lang")).alias("code"))
+    assert [(r.lang, r.code) for r in df.collect()] == [(x, langid.label_code(x)) for x in odd]
+    rng = np.random.default_rng(0)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = [(k, f"junk{k // 2}", EN) for k in range(1200)] + [(2000 + k, f"tr-{k}", " ".join(rng.choice(words, 8))) for k in range(80)]
+    p = langid.train_profiles(spark.createDataFrame(rows, "link_id long, lang string, caption string"), ["caption"])
+    assert "tr" in p.names
+
+
 def test_learning_drops_wrong_labels():
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     rng = np.random.default_rng(0)
