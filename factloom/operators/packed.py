@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from factloom.session import need, ship
 
-#: Separators in order of rank: a field uses the first of these groups that occurs outside quotes.
-SEPARATORS = ("|", ";", ",", "\n\r", "\t")
+#: Separators in order of rank: a field uses the first of these groups that occurs outside quotes. A slash separates
+#: only between blanks, as it also stands inside words.
+SEPARATORS = ("|¦｜", ";；", "•·‣", "/", ",，、", "\n\r", "\t")
+_MARKS = frozenset("".join(SEPARATORS))
 _BLANK = " \t\r\n ​⁠﻿"
 _PAIRS = {"[": "]", "(": ")", "{": "}"}
 
@@ -43,7 +45,7 @@ def scan(text: str) -> tuple[list[tuple[int, str]], int]:
             if j < n:
                 i, fresh = j + 1, False
                 continue
-        if c in "|;,\n\r\t" and depth <= 0:
+        if c in _MARKS and depth <= 0 and (c != "/" or (text[i - 1 : i].isspace() and text[i + 1 : i + 2].isspace())):
             marks.append((i, c))
             fresh = True
         elif c in "[({":
