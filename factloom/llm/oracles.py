@@ -13,7 +13,7 @@ with u as (select link_id, title, snippet, coalesce(url, '') as whole, split_par
 v as (select *, split_part(head, '?', 1) as base, substr(whole, length(head) + 2) as frag from u),
 k as (select link_id, concat_ws(chr(1), {_TEXT.format(c="snippet")}, {_TEXT.format(c="title")},
    concat({_plain("base")}, '?',
-     array_to_string(list_sort(list_filter(list_transform(string_split(substr(head, length(base) + 2), '&'), lambda p: {_plain("p")}), lambda p: p <> '')), '&'),
+     array_to_string(list_sort(list_filter(list_transform(string_split_regex(substr(head, length(base) + 2), '[&;]'), lambda p: {_plain("p")}), lambda p: p <> '')), '&'),
      '#', {_plain("frag")})) as k from v),
 g as (select k, min(link_id) as keep_link_id, count(*) as n_copies from k group by k)
 """
@@ -25,6 +25,7 @@ _BACKEND = r"nullif(regexp_replace(regexp_replace(lower({c}), '^[\s\p{{Z}}]+|[\s
 ORACLES = {
     "p4_found": _RECORDS + "select keep_link_id, link_id as copy_link_id from k join g using (k) where link_id <> keep_link_id",
     "p4_records": _RECORDS + "select keep_link_id, n_copies from g",
+    "p4_summary": _RECORDS + "select sum(n_copies)::bigint as n_rows, count(*) as n_records, (sum(n_copies) - count(*))::bigint as n_copies, count(*) - count(distinct md5(k)) as n_collisions from g",
     "p6_found": f"""
 with t as (select {_BACKEND.format(c="backend")} as b, min(trust_rank) as r from backend_trust group by 1),
 m as (select distinct cluster_key, unnest(members) as link_id from link_clusters where len(list_distinct(members)) >= 2),

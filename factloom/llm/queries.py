@@ -29,6 +29,11 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.collapse(keys).select(F.col("keep_id").alias("keep_link_id"), "n_copies")
 
 
+def p4_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = table(spark, sf_dir, "links")
+    return spelling.summary(spelling.collapse(spelling.record_keys(links, "link_id", ["title", "snippet"], ["url"])))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.survivors(table(spark, sf_dir, "link_clusters"), table(spark, sf_dir, "links"), table(spark, sf_dir, "backend_trust"))
 
@@ -67,4 +72,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.find_stuffed(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p3_found, p5_found, p4_found, p4_records, p6_found, p6_fused, p8_found, p9_mixture, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p3_found, p5_found, p4_found, p4_records, p4_summary, p6_found, p6_fused, p8_found, p9_mixture, p9_shares, p10_found)}

@@ -26,14 +26,14 @@ def canonical_text(text: Column) -> Column:
 def canonical_url(url: Column) -> Column:
     """canonical_text of the address, its sorted query parameters and its fragment.
 
-    Parameters are split at literal ampersands only, so an encoded one stays part
+    Parameters are split at literal ampersands and semicolons, so an encoded one stays part
     of its value; a parameter without letters or digits does not count."""
     plain = lambda c: canonical_text(F.regexp_replace(c, ENCODED, ""))
     whole = F.coalesce(url, F.lit(""))
     head = F.substring_index(whole, "#", 1)
     base = F.substring_index(head, "?", 1)
     query = F.substring(head, F.length(base) + 2, F.length(head))
-    params = F.array_sort(F.filter(F.transform(F.split(query, "&"), plain), lambda p: p != ""))
+    params = F.array_sort(F.filter(F.transform(F.split(query, "[&;]"), plain), lambda p: p != ""))
     fragment = F.substring(whole, F.length(head) + 2, F.length(whole))
     return F.concat_ws("?", plain(base), F.nullif(F.concat_ws("&", params), F.lit("")), F.nullif(F.concat(F.lit("#"), plain(fragment)), F.lit("#")))
 
@@ -65,7 +65,14 @@ def collisions(records: DataFrame) -> DataFrame:
     return records.groupBy("h128").agg(F.count(F.lit(1)).alias("n_records")).where("n_records > 1")
 
 
-def copies(keys: DataFrame, hot_share: int = 64) -> DataFrame:
+def summary(records: DataFrame) -> DataFrame:
+    """One row on the whole collapse: rows, records, rows that are copies, and 128-bit hashes that different records share."""
+    per_hash = records.groupBy("h128").agg(F.sum("n_copies").alias("n"), F.count(F.lit(1)).alias("k"))
+    whole = per_hash.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("k"), F.lit(0)).alias("n_records"), F.count_if(F.col("k") > 1).alias("n_collisions"))
+    return whole.withColumn("n_copies", F.col("n_rows") - F.col("n_records"))
+
+
+def copies(keys: DataFrame, hot_share: int = 4096) -> DataFrame:
     """(keep_id, copy_id) for every row that is not the first of its record.
 
     Rows with a null id give no pair. A record with at least 1/hot_share of all rows
