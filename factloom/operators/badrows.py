@@ -1,7 +1,7 @@
 """Rows that fail to parse: load the valid CSV records, set the others apart with a reason.
 
-A block of records is parsed at once on pyarrow's columnar path. A block that
-fails anywhere is bisected until the failing records stand alone; only those are
+A block of records is parsed at once on pyarrow's columnar path. What
+fails the column-wise tests, or is left alone when a block that does not parse is bisected, is
 read by the strict character-level reader, which names the reason.
 """
 
@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv as pacsv
@@ -30,7 +31,8 @@ COLUMNS = (
 _FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
 _STRICT = rf"(?s)^{_FIELD}(?:,{_FIELD})*$"
 _TRIAGE = r"^\s*0*(?:[1-9][0-9]?|100)\s*$"
-_BLOCK = 1024
+_BLANK = r"^[\p{Z}\p{C}\s]*$"
+_BLOCK = 8192
 
 
 def _strip(text: str) -> str:
@@ -94,13 +96,27 @@ def diagnose(record: str | None, names: list[str] | None) -> tuple[str | None, l
     return None, fields
 
 
-def _bulk(records: list[str], names: list[str]) -> pa.Table | None:
-    """The whole block as columns, or None if anything in it is not plainly valid."""
-    block = pa.array(records, pa.large_string())
-    if not pc.all(pc.match_substring_regex(block, _STRICT)).as_py():
-        return None
+@dataclass(frozen=True)
+class Layout:
+    """What the header of a batch asks of its records: the number of fields, and the place of each target column."""
+
+    n: int
+    places: tuple[int | None, ...]
+    names: tuple[str, ...]
+
+    @staticmethod
+    def of(names: list[str]) -> Layout:
+        at = {n: i for i, n in reversed(list(enumerate(names)))}
+        return Layout(len(names), tuple(at.get(c) for c in COLUMNS), tuple(names))
+
+    def place(self, column: str) -> int | None:
+        return self.places[COLUMNS.index(column)]
+
+
+def _bulk(records: list[str], layout: Layout) -> pa.Table | None:
+    """The whole block as columns, or None if its records do not come out one to one."""
     data = "\n".join(f"{i},{r}" for i, r in enumerate(records)).encode("utf-8", "replace")
-    cols = [f"c{i}" for i in range(len(names) + 1)]
+    cols = [f"c{i}" for i in range(layout.n + 1)]
     try:
         out = pacsv.read_csv(
             pa.BufferReader(data),
@@ -110,29 +126,60 @@ def _bulk(records: list[str], names: list[str]) -> pa.Table | None:
         )
     except pa.ArrowInvalid:
         return None
-    if out.num_rows != len(records) or out["c0"].to_pylist() != [str(i) for i in range(len(records))]:
-        return None
-    if "statement" not in names or pc.any(pc.match_substring_regex(out[f"c{names.index('statement') + 1}"], r"^[\p{Z}\p{C}\s]*$")).as_py():
+    if out.num_rows != len(records) or not out["c0"].combine_chunks().equals(pa.array([str(i) for i in range(len(records))])):
         return None
-    if "max_triage" in names:
-        triage = out[f"c{names.index('max_triage') + 1}"]
-        if not pc.all(pc.or_(pc.match_substring_regex(triage, _TRIAGE), pc.match_substring_regex(triage, r"^\s*$"))).as_py():
-            return None
     return out
 
 
-def parse_block(records: list[str], names: list[str] | None) -> list[tuple[str | None, list[str] | None]]:
-    """(reason, fields) of each record: columnar where a block allows it, bisected where it does not."""
-    if names is None or len(records) <= 1:
-        return [diagnose(r, names) for r in records]
-    clean = [(r or "").removesuffix("\r") for r in records]
-    if (out := _bulk(clean, names)) is not None:
-        return [(None, list(row)) for row in zip(*(out[f"c{i + 1}"].to_pylist() for i in range(len(names))), strict=True)]
-    half = len(records) // 2
-    return parse_block(records[:half], names) + parse_block(records[half:], names)
-
-
-def parse_records(lines: DataFrame) -> DataFrame:
+def _bisect(records: list[str], at: np.ndarray, layout: Layout) -> tuple[list[tuple[np.ndarray, pa.Table]], list[int]]:
+    """Parsed blocks with the places of their records, and the places of the records that no block could take."""
+    if not len(at):
+        return [], []
+    if (out := _bulk(records, layout)) is not None:
+        return [(at, out)], []
+    if len(at) == 1:
+        return [], [int(at[0])]
+    half = len(at) // 2
+    left, right = _bisect(records[:half], at[:half], layout), _bisect(records[half:], at[half:], layout)
+    return left[0] + right[0], left[1] + right[1]
+
+
+def parse_block(records: pa.Array, layout: Layout | None) -> tuple[list[tuple[int, str]], list[tuple[np.ndarray, list[pa.Array | None]]]]:
+    """(failures, loaded) of a block: (place, reason) of each bad record, and the valid ones as (places, target columns).
+
+    The grammar, the number of fields and the values are tested column-wise over the whole block. Only what fails there, or
+    stays alone when a block that does not parse is bisected, goes to the strict reader, which decides and names the reason."""
+    clean = pc.replace_substring_regex(pc.fill_null(records.cast(pa.large_string()), ""), r"\r$", "")
+    doubtful: list[int] = list(range(len(clean)))
+    loaded: list[tuple[np.ndarray, list[pa.Array | None]]] = []
+    if layout is not None:
+        bare = pc.replace_substring_regex(clean, r'(?s)"(?:[^"]|"")*"', "")
+        good = pc.and_(pc.match_substring_regex(clean, _STRICT), pc.equal(pc.count_substring(bare, ","), layout.n - 1)).to_numpy(zero_copy_only=False)
+        doubtful = np.flatnonzero(~good).tolist()
+        at = np.flatnonzero(good)
+        blocks, lone = _bisect(clean.take(pa.array(at)).to_pylist(), at, layout)
+        doubtful += lone
+        statement, triage = layout.place("statement"), layout.place("max_triage")
+        for where, out in blocks:
+            # a blank statement may belong to a record that is blank altogether, so it too is decided below
+            ok = np.zeros(len(where), bool) if statement is None else pc.invert(pc.match_substring_regex(out[f"c{statement + 1}"], _BLANK)).to_numpy()
+            if triage is not None:
+                value = out[f"c{triage + 1}"]
+                ok &= pc.or_(pc.match_substring_regex(value, _TRIAGE), pc.match_substring_regex(value, r"^\s*$")).to_numpy()
+            doubtful += where[~ok].tolist()
+            kept = out if ok.all() else out.filter(pa.array(ok))
+            loaded.append((where[ok], [None if p is None else kept[f"c{p + 1}"].combine_chunks() for p in layout.places]))
+    failures = []
+    for k in doubtful:
+        reason, fields = diagnose(clean[k].as_py(), list(layout.names) if layout else None)
+        if reason:
+            failures.append((k, reason))
+        elif fields:
+            loaded.append((np.array([k]), [None if p is None else pa.array([fields[p]]) for p in layout.places]))
+    return failures, loaded
+
+
+def parse_records(lines: DataFrame, load: bool = True) -> DataFrame:
     """Every data record of ``lines`` (row_id, batch_id, line_no, raw_line) with the outcome of its parse.
 
     Columns out: row_id, batch_id, line_no, ``reason`` (null for a valid row, else
@@ -141,6 +188,7 @@ def parse_records(lines: DataFrame) -> DataFrame:
     raw_line counts as blank. A batch without a header cannot be matched: its
     records fail with 'columns'. A repeated header keeps the one of the smallest
     row_id. A null batch_id is a batch of its own. Other input columns are ignored.
+    Without ``load`` the valid rows and the text columns are left out.
     """
     need(lines, ["row_id", "batch_id", "line_no", "raw_line"])
     ship(lines.sparkSession)
@@ -148,27 +196,42 @@ def parse_records(lines: DataFrame) -> DataFrame:
     headers = lines.where("line_no = 1").groupBy("_batch").agg(F.min_by("raw_line", "row_id").alias("_header"))
     data = salted_join(lines.where("line_no is null or line_no <> 1"), headers, "_batch", F.col("row_id"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str | None, list[str] | None] = {}
-        for part in parts:
-            for header, rows in part.groupby("_header", dropna=False, sort=False):
-                header = header if isinstance(header, str) else None
-                if header not in known:
-                    known[header] = header_names(header)
-                names = known[header]
-                records = [r if isinstance(r, str) else None for r in rows["raw_line"]]
-                found = [x for i in range(0, len(records), _BLOCK) for x in parse_block(records[i : i + _BLOCK], names)]
-                keep = [i for i, (reason, fields) in enumerate(found) if reason or fields]
-                out = rows.iloc[keep][["row_id", "batch_id", "line_no"]].assign(reason=pd.Series([found[i][0] for i in keep], dtype=object).values)
-                place = {n: i for i, n in reversed(list(enumerate(names or [])))}
-                for c in COLUMNS:
-                    at = place.get(c)
-                    out[c] = [None if at is None or found[i][1] is None else found[i][1][at] for i in keep]
-                yield out
-
     kinds = dict(lines.dtypes)
-    schema = f"row_id {kinds['row_id']}, batch_id string, line_no {kinds['line_no']}, reason string, " + ", ".join(f"{c} string" for c in COLUMNS)
-    return data.select("row_id", "batch_id", "line_no", "raw_line", "_header").mapInPandas(run, schema)
+    schema = f"row_id {kinds['row_id']}, batch_id string, line_no {kinds['line_no']}, reason string, " + ", ".join(f"{c} string" for c in COLUMNS if load)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, Layout | None] = {None: None}
+        for batch in batches:
+            headers = batch.column("_header").dictionary_encode()
+            layouts = []
+            for h in headers.dictionary.to_pylist():
+                if h not in known:
+                    known[h] = Layout.of(names) if (names := header_names(h)) else None
+                layouts.append(known[h])
+            # batches of one layout share their blocks, whatever the spelling of their headers
+            distinct = list(dict.fromkeys([*layouts, None]))
+            number = np.array([distinct.index(x) for x in [*layouts, None]])
+            group = number[pc.fill_null(headers.indices, len(layouts)).to_numpy(zero_copy_only=False)]
+            for g in np.unique(group):
+                rows = np.flatnonzero(group == g)
+                own = batch.take(pa.array(rows))
+                for i in range(0, len(rows), _BLOCK):
+                    yield from _outcomes(own.slice(i, _BLOCK), distinct[g], load)
+
+    return data.select("row_id", "batch_id", "line_no", "raw_line", "_header").mapInArrow(run, schema.rstrip(", "))
+
+
+def _outcomes(block: pa.RecordBatch, layout: Layout | None, load: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of parse_records for one block."""
+    failures, loaded = parse_block(block.column("raw_line"), layout)
+    names = ["row_id", "batch_id", "line_no", "reason", *(COLUMNS if load else ())]
+    parts = [(np.array([k for k, _ in failures], np.int64), pa.array([r for _, r in failures], pa.string()), [None] * len(COLUMNS))]
+    parts += [(at, pa.nulls(len(at), pa.string()), columns) for at, columns in loaded] if load else []
+    for at, reason, columns in parts:
+        if len(at):
+            own = block.take(pa.array(at))
+            texts = [pa.nulls(len(at), pa.string()) if c is None else c.cast(pa.string()) for c in columns] if load else []
+            yield pa.RecordBatch.from_arrays([own.column("row_id"), own.column("batch_id"), own.column("line_no"), reason, *texts], names=names)
 
 
 def valid_rows(parsed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from factloom.session import table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return badrows.rejected_rows(badrows.parse_records(table(spark, sf_dir, "hypothesis_lines")))
+    return badrows.rejected_rows(badrows.parse_records(table(spark, sf_dir, "hypothesis_lines"), load=False))
 
 
 def p2_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,14 @@
 import csv
 import io
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from factloom.operators import badrows as B
 
-NAMES = ["statement", "max_triage", "note"]
+NAMES = ["statement", "max_triage", "rationale"]
 
 
 @pytest.mark.parametrize(
@@ -41,7 +42,17 @@ def test_blocks_equal_single_records(rows, quoted):
             records.append(out.getvalue())
         else:
             records.append(",".join(r))
-    assert B.parse_block(records, NAMES) == [B.diagnose(r, NAMES) for r in records]
+    layout = B.Layout.of(NAMES)
+    failures, loaded = B.parse_block(pa.array(records, pa.string()), layout)
+    got = {k: (reason, None) for k, reason in failures}
+    for at, columns in loaded:
+        texts = {c: columns[B.COLUMNS.index(c)].to_pylist() for c in NAMES if c in B.COLUMNS}
+        got |= {int(k): (None, {c: v[i] for c, v in texts.items()}) for i, k in enumerate(at)}
+    for k, r in enumerate(records):
+        reason, fields = B.diagnose(r, NAMES)
+        if reason or fields:
+            assert got.pop(k) == (reason, fields and {c: f for c, f in zip(NAMES, fields, strict=True) if c in B.COLUMNS})
+    assert not got
 
 
 def test_operator(spark):
