@@ -48,10 +48,12 @@ SEEDS = {
 
 ORDERS, SIZE, MIN_WORDS = (1, 2, 3, 4), 600, 3
 _TAG = re.compile(r"(?:https?://|www\.)\S+|[#@][\w\p{M}\-]+")
+_ACCENT = re.compile("[\u0300-\u036f]+")
 _NOT_WORD = re.compile(r"[^\p{L}\p{M}\s'’\-]")
 _BREAK = re.compile(r"[.!?;:,…।॥|()\[\]{}\"“”«»\n\r\t–—/]+|[^\w\p{M}\s'’\-]")
 #: A clause of at least LONG words is also read in halves: two languages may follow each other without a mark.
 LONG, SURE = 12, 0.9
+MEMO = 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,15 +77,16 @@ def code_of(label: Column) -> Column:
 
 def fold(text: str) -> str:
     """Lower case without the accents of Latin letters; other scripts keep their marks."""
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not "̀" <= c <= "ͯ")
+    low = text.lower()
+    return low if low.isascii() else _ACCENT.sub("", unicodedata.normalize("NFD", low))
 
 
 def clauses(unit: str, skip: frozenset[str] = frozenset()) -> list[str]:
     """Clauses of a unit as folded words: split at punctuation and signs, without tags, addresses and
     digits, and without the words to ``skip``. Pieces of fewer than MIN_WORDS words join the piece behind them, else the one before."""
     pieces = []
-    for piece in _BREAK.split(_TAG.sub(" ", unit)):
-        words = [w for w in _NOT_WORD.sub(" ", fold(piece)).replace("’", "'").split() if any(c.isalpha() for c in w) and w not in skip]
+    for piece in _BREAK.split(fold(_TAG.sub(" ", unit))):
+        words = [w for w in _NOT_WORD.sub(" ", piece).replace("’", "'").split() if (w[0].isalpha() or any(c.isalpha() for c in w)) and w not in skip]
         if words:
             pieces.append(words)
     out: list[list[str]] = []
@@ -132,16 +135,19 @@ def _grams(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ranked(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, hash, rank) of the distinct n-grams of each text, by falling frequency."""
+    """(text number, hash, rank) of the distinct n-grams of each text, by falling frequency; at most 2**12 texts.
+
+    Text number, count and hash are packed into one sort key, so the hash keeps its upper 52 bits."""
     seg, h = _grams(texts)
-    order = np.lexsort((h, seg))
-    seg, h = seg[order], h[order]
-    start = np.flatnonzero(np.r_[True, (seg[1:] != seg[:-1]) | (h[1:] != h[:-1])])
-    count = np.diff(np.r_[start, len(seg)])
-    seg, h = seg[start], h[start]
-    order = np.lexsort((h, -count, seg))
+    key = np.sort((seg.astype(np.uint64) << np.uint64(52)) | (h >> np.uint64(12)))
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    count = np.diff(np.r_[start, len(key)])
+    seg, h = (key[start] >> np.uint64(52)).astype(np.int64), key[start] & np.uint64((1 << 52) - 1)
+    # falling counts inside a text; the sort is stable, so ties stay in order of their hash
+    most = int(count.max(initial=1))
+    order = np.argsort(seg * (most + 1) + (most - count), kind="stable")
     seg, h = seg[order], h[order]
-    first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+    first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]) if len(seg) else np.empty(0, np.int64)
     rank = np.arange(len(seg)) - np.repeat(first, np.diff(np.r_[first, len(seg)]))
     return seg, h, rank
 
@@ -161,12 +167,17 @@ class Profiles:
             if not len(seg):
                 continue
             place = np.minimum(np.searchsorted(self.gram, h), len(self.gram) - 1)
-            known = self.gram[place] == h
-            ranks = np.where(known[:, None], self.rank[place], SIZE)
-            apart = np.where(ranks < SIZE, np.minimum(np.abs(ranks - rank[:, None].clip(max=SIZE - 1)), SIZE), SIZE).astype(np.float64)
+            known = np.flatnonzero(self.gram[place] == h)
             first = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-            size = np.diff(np.r_[first, len(seg)])
-            out[at + seg[first]] = np.add.reduceat(apart, first, axis=0) / (size[:, None] * SIZE)
+            size = np.bincount(seg[first], np.diff(np.r_[first, len(seg)]), len(texts[at : at + chunk]))
+            # n-grams in no profile are SIZE apart from every language; the others are looked up
+            ranks = self.rank[place[known]]
+            apart = np.abs(ranks - rank[known, None].clip(max=SIZE - 1).astype(np.int32))
+            apart[ranks == SIZE] = SIZE
+            owner = seg[known]
+            near = np.stack([np.bincount(owner, SIZE - apart[:, k], len(size)) for k in range(len(self.names))], 1)
+            some = size > 0
+            out[at : at + chunk][some] = 1 - near[some] / (size[some, None] * SIZE)
         return out
 
     def classify(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -260,43 +271,54 @@ def train_profiles(videos: DataFrame, fields: Sequence[str], id_col: str = "link
     return learn(pairs)
 
 
-def unit_languages(units: Sequence[str], profiles: Profiles, least: float = 0.55) -> list[dict[str, tuple[float, str]]]:
-    """For each unit {language: (confidence, text of its clauses)}; {} without a clause of words."""
+def unit_languages(units: Sequence[str], profiles: Profiles, least: float = 0.55, seen: dict[str, tuple[str, float]] | None = None) -> list[dict[str, tuple[float, str]]]:
+    """For each unit {language: (confidence, text of its clauses)}; {} without a clause of words. ``seen`` keeps the
+    answers for clauses between calls, at most about MEMO of them."""
     parts = [clauses(u, profiles.shared) for u in units]
     flat = [c for p in parts for c in p]
     out: list[dict[str, tuple[float, str]]] = []
     if not flat:
         return [{} for _ in units]
     lang = [n.split("-")[0] for n in profiles.names]
-    best, sure = profiles.classify(flat)
-    long = [i for i, c in enumerate(flat) if c.count(" ") + 1 >= LONG]
-    halves = [" ".join(w) for i in long for v in [flat[i].split()] for w in (v[: len(v) // 2], v[len(v) // 2 :])]
-    two: dict[int, list[tuple[str, float, str]]] = {}
-    if halves:
-        half, certain = profiles.classify(halves)
-        for k, i in enumerate(long):
-            a, b = 2 * k, 2 * k + 1
-            if lang[half[a]] != lang[half[b]] and min(certain[a], certain[b]) > SURE:
-                two[i] = [(lang[half[x]], float(certain[x]), halves[x]) for x in (a, b)]
-    at = 0
+    seen = {} if seen is None else seen
+
+    def read(texts: Iterable[str]) -> None:
+        """Classify what was not read before: stock phrases and repeated texts cost once."""
+        new = [t for t in dict.fromkeys(texts) if t not in seen]
+        best, sure = profiles.classify(new) if new else ((), ())
+        seen.update((t, (lang[k], float(q))) for t, k, q in zip(new, best, sure, strict=True))
+
+    def split(text: str) -> tuple[str, str]:
+        words = text.split()
+        return " ".join(words[: len(words) // 2]), " ".join(words[len(words) // 2 :])
+
+    read(flat)
+    halves = {c: split(c) for c in dict.fromkeys(flat) if c.count(" ") + 1 >= LONG}
+    read(h for pair in halves.values() for h in pair)
+    two = {}
+    for c, pair in halves.items():
+        (x, p), (y, q) = seen[pair[0]], seen[pair[1]]
+        if x != y and min(p, q) > SURE:
+            two[c] = [(x, p, pair[0]), (y, q, pair[1])]
     for p in parts:
         got: dict[str, list[tuple[float, str]]] = defaultdict(list)
         for c in p:
-            for name, conf, text in two.get(at) or [(lang[best[at]], float(sure[at]), c)]:
+            for name, conf, text in two.get(c) or [(*seen[c], c)]:
                 got[name].append((conf, text))
-            at += 1
         kept = {k: (max(x[0] for x in v), " ".join(x[1] for x in v)) for k, v in got.items()}
         if len(kept) > 1:  # a second language needs a clause that is sure
             kept = {k: v for k, v in kept.items() if v[0] >= least} or kept
         out.append(kept)
+    if len(seen) > MEMO:
+        seen.clear()
     return out
 
 
-def segment_languages(df: DataFrame, profiles: Profiles, id_col: str, fields: Sequence[str], label_col: str | None = None) -> DataFrame:
+def segment_languages(df: DataFrame, profiles: Profiles, id_col: str, fields: Sequence[str], label_col: str | None = None, whole: Sequence[str] = ()) -> DataFrame:
     """(id, field_name, seg_no, lang, confidence, label_lang, words) for each unit and language in it.
 
     Units are the lines of a text field, numbered from 1, and the elements of an array
-    field; a caption is one unit of a single-line field when named in ``whole``. Null and
+    field; a text field named in ``whole`` is one unit. Null and
     empty units, and units without a clause of words, give no row. Repeated
     rows give repeated results. One pass without a shuffle; only the profiles travel.
     """
@@ -306,7 +328,7 @@ def segment_languages(df: DataFrame, profiles: Profiles, id_col: str, fields: Se
     shipped = df.sparkSession.sparkContext.broadcast(profiles)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shipped.value
+        own, seen = shipped.value, {}
         for part in parts:
             ids, names, numbers, labels, units = [], [], [], [], []
             marks = part["_label"] if "_label" in part else [None] * len(part)
@@ -314,14 +336,25 @@ def segment_languages(df: DataFrame, profiles: Profiles, id_col: str, fields: Se
                 for key, label, value in zip(part[id_col], marks, part[f], strict=True):
                     if value is None or isinstance(value, float):
                         continue
-                    pieces = [value] if f == "caption" else value.split("\n") if isinstance(value, str) else value
+                    pieces = [value] if f in whole else value.split("\n") if isinstance(value, str) else value
                     for k, unit in enumerate(pieces, 1):
                         if unit:
                             ids.append(key), names.append(f), numbers.append(k), labels.append(label), units.append(unit)
-            found = unit_languages(units, own)
+            found = unit_languages(units, own, seen=seen)
             rows = [(i, n, k, lang, conf, label_code(lab), text.count(" ") + 1) for i, n, k, lab, got in zip(ids, names, numbers, labels, found, strict=True) for lang, (conf, text) in got.items()]
             yield pd.DataFrame(rows, columns=[id_col, "field_name", "seg_no", "lang", "confidence", "label_lang", "words"])
 
     label = F.col(label_col) if label_col else F.lit(None).cast("string")
     schema = f"{id_col} {kinds[id_col]}, field_name string, seg_no int, lang string, confidence double, label_lang string, words int"
     return widen(df.select(id_col, *fields, label.alias("_label"))).mapInPandas(run, schema)
+
+
+def document_languages(segments: DataFrame, id_col: str) -> DataFrame:
+    """(id, lang, confidence, share, n_langs) of each document with a clause of words: the language of most of its words.
+
+    ``confidence`` is the mean of the units in that language, weighted by words, and ``share`` its part of all words.
+    Ties go to the earlier code. Languages of a document are few, so both aggregates combine before they shuffle."""
+    per = segments.groupBy(id_col, "lang").agg(F.sum("words").alias("n"), F.sum(F.col("confidence") * F.col("words")).alias("c"))
+    top = F.max_by(F.struct("lang", "n", "c"), F.struct("n", F.negative(F.ascii(F.substring("lang", 1, 1)) * 256 + F.ascii(F.substring("lang", 2, 1)))))
+    whole = per.groupBy(id_col).agg(top.alias("t"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("n_langs"))
+    return whole.select(id_col, "t.lang", F.round(F.col("t.c") / F.col("t.n"), 6).alias("confidence"), F.round(F.col("t.n") / F.col("all"), 6).alias("share"), "n_langs")

@@ -48,7 +48,12 @@ TEXT_FIELDS = ["caption", "transcript", "top_comments"]
 def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     videos = table(spark, sf_dir, "short_videos")
     profiles = langid.train_profiles(videos, TEXT_FIELDS)
-    return langid.segment_languages(videos, profiles, "link_id", TEXT_FIELDS, "lang")
+    return langid.segment_languages(videos, profiles, "link_id", TEXT_FIELDS, "lang", whole=["caption"])
+
+
+def p1_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main language of each video's texts."""
+    return langid.document_languages(p1_segments(spark, sf_dir), "link_id")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +77,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.find_stuffed(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p3_found, p5_found, p4_found, p4_records, p4_summary, p6_found, p6_fused, p8_found, p9_mixture, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p1_documents, p3_found, p5_found, p4_found, p4_records, p4_summary, p6_found, p6_fused, p8_found, p9_mixture, p9_shares, p10_found)}

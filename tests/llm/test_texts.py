@@ -67,12 +67,21 @@ def test_banded_distance_equals_the_full_one():
     rng = np.random.default_rng(1)
     left = [rng.integers(0, 4, rng.integers(1, 40)).astype(np.uint32) for _ in range(30)]
     right = [np.delete(x, rng.integers(0, len(x), min(3, len(x) - 1))) if len(x) > 1 else x for x in left]
-    assert list(leakage.banded_distance(left, right)) == [edit_distance(a.tolist(), b.tolist()) for a, b in zip(left, right, strict=True)]
+    assert list(leakage.banded_distance(left, right, 32)) == [edit_distance(a.tolist(), b.tolist()) for a, b in zip(left, right, strict=True)]
 
 
-def test_passages_lose_shared_sentences():
-    got = ["".join(map(chr, c)) for c in leakage.passages([ITEM, ITEM2, "Read this now. What came first?", ""])]
-    assert got[0].startswith("the red mule") and got[0].endswith("quiet hill") and got[2:] == ["", ""]
+def test_passages_lose_shared_sentences(spark):
+    items = spark.createDataFrame([(1, ITEM), (2, ITEM2), (3, "Read this now. What came first?"), (4, ""), (5, None), (6, ITEM2)], "item_id long, text string")
+    got = {r.item_id: r.passage for r in leakage.passages(items, "item_id", "text").collect()}
+    assert got[1].startswith("the red mule") and got[1].endswith("quiet hill.") and set(got) == {1, 2, 6} and got[2] == got[6]
+
+
+def test_codes_and_grams():
+    texts = ["Ab-c  d", "", " ..", "É_1 ", "x" * 30]
+    code, starts = leakage.encode(texts)
+    assert ["".join(map(chr, code[a:b])) for a, b in zip(starts, starts[1:])] == ["ab c d", "", "", "é 1", "x" * 30]
+    g = leakage.grams(leakage.codes("the same words twice: the same words twice"))
+    assert len(g) == 42 - leakage.Q and g[0] == g[21] and len(set(g.tolist())) == 21
 
 
 def test_leaks(spark):
@@ -86,8 +95,8 @@ def test_leaks(spark):
     got = sorted((r.doc_id, r.item_id) for r in leakage.find_leaks(df, items).collect())
     assert got == [(1, 1), (2, 1), (3, 1), (4, 1), (9, 1), (9, 1)]
     assert leakage.find_leaks(df, items.limit(0)).count() == 0 and leakage.find_leaks(df.limit(0), items).count() == 0
-    with pytest.raises(ValueError, match="blocks"):
-        leakage.find_leaks(df, items, max_items_mb=0)
+    in_blocks = sorted((r.doc_id, r.item_id) for r in leakage.find_leaks(df, items, block_mb=0.0003).collect())
+    assert in_blocks == got
 
 
 # --- spam pages --------------------------------------------------------------------------------
