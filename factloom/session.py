@@ -17,21 +17,23 @@ from pyspark.sql import functions as F
 _FOLDERS: set[str] = set()
 
 
-def get_spark(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session with the settings the engine expects (UTC, AQE, Arrow)."""
-    return (
-        SparkSession.builder.master(f"local[{cores}]")
+def get_spark(cores: str = "*", shuffle_partitions: int = 8, master: str | None = None, shared: str | None = None) -> SparkSession:
+    """A session with the settings the engine expects (UTC, AQE, Arrow): local unless a master is given.
+
+    ``shared`` is the folder for intermediate tables (spark.checkpoint.dir), which a master other than a local one needs."""
+    builder = (
+        SparkSession.builder.master(master or f"local[{cores}]")
         .appName("factloom")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.host", "127.0.0.1")
-        .getOrCreate()
     )
+    if master is None:
+        builder = builder.config("spark.driver.memory", "8g").config("spark.driver.host", "127.0.0.1")
+    return (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,19 +41,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where it is unset a local one (tests)."""
+    """The shared folder of spark.checkpoint.dir. Only a local master, as in tests, may do without: it gets a temporary folder."""
     jsc = spark.sparkContext._jsc.sc()
     known = jsc.getCheckpointDir()
     if known.isDefined():
         return known.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "factloom-checkpoint")
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    path = path or os.path.join(tempfile.gettempdir(), "factloom-checkpoint")
     spark.sparkContext.setCheckpointDir(path)
     return jsc.getCheckpointDir().get()
 
 
-def spread(spark: SparkSession) -> int:
-    """Partitions for work that is heavy for its bytes, which AQE would gather into too few tasks."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+def spread(df: DataFrame, mb: int = 32) -> int:
+    """Partitions for work on df that is heavy for its bytes, which AQE would gather into too few tasks: one per ``mb`` of
+    the planner's estimate, at least two a core. An unknown size counts as none."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 50 else 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, known // (mb << 20))
 
 
 def widen(df: DataFrame) -> DataFrame:
