@@ -8,12 +8,14 @@ template only if its occurrences cluster by site far beyond chance, or if it sta
 
 from __future__ import annotations
 
+import re as plain_re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 import regex as re
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.stuffing import WORDS
@@ -26,9 +28,12 @@ FEW = 4
 _HOST = re.compile(r"^\s*(?:[a-z][\w+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", re.I)
 _HOST_SQL = "(?i)" + _HOST.pattern
 _WORD = re.compile(r"[\p{L}\p{M}]+")
+_DIGITS, _TAIL, _QUERY, _SIGNS = (plain_re.compile(x) for x in (r"\d+", r"-\d+$", r"[?#].*$", r"[^a-z0-9]+"))
+#: Second labels under which two-letter domains give out names, as in a.co.uk. Fixed values.
+_SECOND = "co com org net gov gob gouv ac edu or ne go in firm gen ind".split()
 #: Lines that name themselves as furniture, for sites too few in a language to compare: adverts, links to more, sharing, a site's word on its
 #: cookies. Fixed values.
-_MARKS = re.compile(
+_MARKS = plain_re.compile(
     r"^(?:advertisement|anzeige|werbung|publicidad|publicité|pubblicità|publicidade|advertentie|विज्ञापन)(?:[\s:\-].{0,40})?$"
     r"|^(?:related|read also|see also|you may also like|lesen sie auch|lee también|à lire aussi|leggi anche|leia também|lees ook|यह भी पढ़ें)\s*:"
     r"|^(?:share(?: this)?|teilen|comparte|compartir|partager|condividi|compartilhar|delen|साझा करें)\s*:"
@@ -38,19 +43,28 @@ _MARKS = re.compile(
 )
 #: Three or more short names between equal separators.
 _ROW = re.compile(r"^(?:[\p{L}\p{M}'’]+ ){0,2}[\p{L}\p{M}'’]+(?P<sep> [·|/>›»•\-] )(?:[\p{L}\p{M}'’]+ ){0,2}[\p{L}\p{M}'’]+(?:(?P=sep)(?:[\p{L}\p{M}'’]+ ){0,2}[\p{L}\p{M}'’]+)+$")
-_BULLET = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s")
-_END = re.compile(r"[.!…。।](?:[\"'”’)]*)$")
+_BULLET = plain_re.compile(r"^\s*(?:[-*•]|\d+[.)])\s")
+_END = plain_re.compile(r"[.!…。।](?:[\"'”’)]*)$")
 
 
 def site_of(url: str | None) -> str:
-    """The registrable name of a url's host: its last two labels; '' without a host."""
+    """The name of a url's host that is given out to a site: its last two labels, three below a shared second label; '' without a host."""
     m = _HOST.match(url or "")
-    return ".".join(m[1].lower().rstrip(".").split(".")[-2:]) if m else ""
+    if not m:
+        return ""
+    labels = m[1].lower().rstrip(".").split(".")
+    return ".".join(labels[-3 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in _SECOND else -2 :])
+
+
+def site_column(url: Column) -> Column:
+    """site_of as an expression."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST_SQL, 1)), r"\.+$", "")
+    return F.regexp_extract(host, rf"(?:[^.]*\.(?:{'|'.join(_SECOND)})\.[a-z][a-z]|[^.]*\.[^.]*|[^.]*)$", 0)
 
 
 def path_of(url: str | None) -> str:
     """Host and path of a url, which name a page whatever its query."""
-    return re.sub(r"[?#].*$", "", (url or "").strip()).rstrip("/").lower()
+    return _QUERY.sub("", (url or "").strip()).rstrip("/").lower()
 
 
 def label(line: str, site: str) -> str:
@@ -59,7 +73,7 @@ def label(line: str, site: str) -> str:
     name = site.split(".")[0]
     if len(name) > 2:
         text = text.replace(name, "§")
-    return " ".join(re.sub(r"\d+", "#", text).split())
+    return " ".join(_DIGITS.sub("#", text).split())
 
 
 def keys_of(name: str) -> list[str]:
@@ -80,18 +94,26 @@ def code(key: str) -> int:
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
+_SPEAKS = {w: tuple(k for k, v in WORDS.items() if w in v) for w in frozenset().union(*WORDS.values())}
+
+
 def language(text: str) -> str:
-    words = _WORD.findall(text.lower())
-    return max(WORDS, key=lambda k: (sum(w in WORDS[k] for w in words), k)).split("-")[0]
+    """The language with the most function words over the whole text; ties go to the later code."""
+    seen = Counter(w for w in _WORD.findall(text.lower()) if w in _SPEAKS)
+    count = dict.fromkeys(WORDS, 0)
+    for w, n in seen.items():
+        for k in _SPEAKS[w]:
+            count[k] += n
+    return max(count, key=lambda k: (count[k], k)).split("-")[0]
 
 
 def headline_at(lines: list[str], url: str | None) -> int:
     """Number of the line that the last part of the url spells, or -1."""
-    slug = re.sub(r"-\d+$", "", path_of(url).rsplit("/", 1)[-1])
+    slug = _TAIL.sub("", path_of(url).rsplit("/", 1)[-1])
     if len(slug) < 8 or "-" not in slug:
         return -1
     for i, line in enumerate(lines):
-        if len(line) < 200 and re.sub(r"[^a-z0-9]+", "-", line.lower()).strip("-").startswith(slug[:60]):
+        if _SIGNS.sub("-", line.lower()).strip("-").startswith(slug):
             return i
     return -1
 
@@ -142,8 +164,11 @@ def induce(bodies: DataFrame) -> DataFrame:
     # without a host a path names no page, so such a body is repeated only by its own id
     page = F.when(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST_SQL, 1) != "", path)
     alone = F.when(page.isNull(), F.col("body_id"))
-    first = pages.groupBy(page.alias("_p"), alone.alias("_i"), F.xxhash64("text").alias("_t"), F.length("text").alias("_n")).agg(F.min_by(F.struct("url", "text"), "body_id").alias("one")).select("one.*")
-    counted = cut(first.repartition(spread(bodies.sparkSession)).mapInPandas(tree, "site string, lang string, kind string, key long, zone string").groupBy("lang", "kind", "key", "site").agg(
+    # ids are picked before texts move; a repeated id keeps all its rows only if their texts differ
+    ids = pages.groupBy(page.alias("_p"), alone.alias("_i"), F.xxhash64("text").alias("_t"), F.length("text").alias("_n")).agg(F.min("body_id").alias("body_id")).select("body_id", "_t")
+    hashed = pages.withColumn("_t", F.xxhash64("text")).repartition(spread(bodies), "body_id", "_t")
+    first = hashed.join(ids.distinct().hint("shuffle_hash"), ["body_id", "_t"], "left_semi").select("url", "text")
+    counted = cut(first.mapInPandas(tree, "site string, lang string, kind string, key long, zone string").groupBy("lang", "kind", "key", "site").agg(
         F.count(F.lit(1)).alias("c"), *[F.sum(F.col("zone").contains(z).cast("int")).alias(z) for z in "bamp"],
     ))
     sites = counted.where("kind = ''").select("lang", "site", F.col("c").alias("pages"))
@@ -189,7 +214,7 @@ def furniture(text: str, url: str | None, site: str, known: dict[int, str]) -> l
             kind.append("blank")
         else:
             full, *slots = [known.get(code(k)) for k in keys_of(name)]
-            if full == "t" or _MARKS.search(name) or (full != "C" and "t" in slots and len(lines[i]) < 1.6 * PARAGRAPH):
+            if full == "t" or (full != "C" and "t" in slots and len(lines[i]) < 1.6 * PARAGRAPH) or _MARKS.search(name):
                 kind.append("template")
                 if full != "t":
                     guessed.append(i)
@@ -238,15 +263,13 @@ def _by_site(bodies: DataFrame, emit, schema: str, columns: list[str], chunk: in
     ship(bodies.sparkSession)
     own = bodies.select("body_id", "url", "text", *columns).where("length(text) > 0")
     verdicts = cut(induce(own))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST_SQL, 1))
-    labels = F.slice(F.reverse(F.split(F.regexp_replace(host, r"\.+$", ""), r"\.")), 1, 2)
-    own = own.withColumn("site", F.array_join(F.reverse(labels), "."))
+    own = own.withColumn("site", site_column(F.col("url")))
     sizes = own.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
     limit = max(chunk, own.count() // 65536)
     big = cut(sizes.where(F.col("n") > limit).select("site", F.ceil(F.col("n") / limit).cast("int").alias("k")))
     parts = own.join(F.broadcast(big), "site", "left").withColumn("part", F.pmod(F.xxhash64("body_id"), F.coalesce("k", F.lit(1))).cast("int")).drop("k")
     rules = verdicts.join(F.broadcast(big), "site", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))).drop("k")
-    n = spread(bodies.sparkSession)
+    n = spread(bodies)
     parts, rules = parts.repartition(n, "site", "part"), rules.repartition(n, "site", "part")
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 

@@ -17,6 +17,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.find_residue(table(spark, sf_dir, "bodies")).select("body_id")
 
 
+def p5_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, recall and precision on the weak labels of unseen sites."""
+    return residue.validation(table(spark, sf_dir, "bodies"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = table(spark, sf_dir, "links")
     keys = spelling.record_keys(links, "link_id", ["title", "snippet"], ["url"])
@@ -77,4 +82,4 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.find_stuffed(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p1_documents, p3_found, p5_found, p4_found, p4_records, p4_summary, p6_found, p6_fused, p8_found, p9_mixture, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p1_documents, p3_found, p5_found, p5_validation, p4_found, p4_records, p4_summary, p6_found, p6_fused, p8_found, p9_mixture, p9_shares, p10_found)}

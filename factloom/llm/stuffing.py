@@ -125,7 +125,7 @@ def find_stuffed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(docs.sparkSession)
     need(docs, [id_col, text_col])
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("length(text) > 0")
-    own = own.repartition(spread(docs.sparkSession), "id").distinct()  # equal rows share a partition by now
+    own = own.repartition(spread(docs), "id").distinct()  # equal rows share a partition by now
     flagged = extremes(cut(curves(own, "id", "text")))
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -165,6 +165,12 @@ def test_frames_of_pages_without_a_path(spark):
     assert {(r[0], 2) for r in odd + asked} <= found
 
 
+def test_sites(spark):
+    urls = {"https://a.co.uk/x": "a.co.uk", "http://www.b.co.in": "b.co.in", "//news.c.example/": "c.example", "https://user@d.example:80/p": "d.example", "plain": "", None: "", "https://co.uk/": "co.uk", "https://h/": "h"}
+    df = spark.createDataFrame([(u,) for u in urls], "url string").select("url", boilerplate.site_column(F.col("url")).alias("site"))
+    assert {r.url: r.site for r in df.collect()} == urls == {u: boilerplate.site_of(u) for u in urls}
+
+
 def test_language_is_that_of_the_whole_text():
     assert boilerplate.language(f"{DE} " * 80 + f"{EN} " * 200) == "en"
 
@@ -189,7 +195,14 @@ def test_residue(spark):
 
 def test_held_out_hosts():
     sample = [(f"s{i % 20}.example", PROSE * 3 + f"Number {i}.", 200, True) for i in range(120)] + [(f"s{i % 20}.example", f"Access denied\nError code {i}\nPlease try again later.", 403, False) for i in range(60)]
-    assert residue.train(sample).held_out["accuracy"] > 0.95
+    known = np.ones(1 << residue.WORD_BITS, bool)
+    assert residue.train(sample, known).held_out["accuracy"] > 0.95
+
+
+def test_common_words_count_each_text_once(spark):
+    texts = [("one two", i) for i in range(50)] + [(f"one red {w}", 100 + i) for i, w in enumerate("abc")] + [("", 200), (None, 201)]
+    known = residue.vocabulary(spark.createDataFrame(texts, "text string, body_id long"))
+    assert known[residue.word_bit("one")] and known[residue.word_bit("red")] and not known[residue.word_bit("two")]
 
 
 # --- mixtures ----------------------------------------------------------------------------------
