@@ -49,47 +49,75 @@ def fallback_union(links: DataFrame, order: list[str], least: int, scope: str =
     return best.join(open_ranks, [scope, "_rank"]).select(scope, "link_id", F.col("_rank").alias("backend_rank"))
 
 
+def with_videos(links: DataFrame, videos: DataFrame | None) -> DataFrame:
+    """links with what short videos add to clustering: caption, and how many of comments and transcript there are.
+
+    Videos of one id count once (the greatest caption); without videos the columns are null and 0."""
+    if videos is None:
+        return links.withColumns({"caption": F.lit(None).cast("string"), "enriched": F.lit(0)})
+    there = F.coalesce((F.size("top_comments") > 0).cast("int"), F.lit(0)) + F.coalesce((F.col("transcript") != "").cast("int"), F.lit(0))
+    slim = videos.groupBy("link_id").agg(F.max("caption").alias("caption"), F.max(there).alias("enriched"))
+    return links.join(slim, "link_id", "left").withColumn("enriched", F.coalesce("enriched", F.lit(0)))
+
+
 def representative_key() -> Column:
-    """What makes a link stand for its cluster: short video, views, filled-in details, then the earlier discovery and id."""
-    filled = sum((F.col(c).isNotNull().cast("int") for c in ("like_count", "comment_count", "share_count", "duration_sec", "creator")), F.lit(0))
-    early = -F.coalesce(F.unix_micros("discovered_at"), F.lit(2**62))
-    return F.struct(F.coalesce(F.col("is_short_video"), F.lit(False)).alias("short"), F.coalesce("view_count", F.lit(-1)).alias("views"), filled.alias("filled"), early.alias("early"), (-F.col("link_id")).alias("neg"))
+    """What makes a link stand for its cluster: short video; its views and enrichment; then the earlier discovery (a missing one
+    counts as the epoch) and the smaller id. Reads the columns of with_videos."""
+    short = F.coalesce(F.col("is_short_video"), F.lit(False))
+    views = F.when(short, F.coalesce("view_count", F.lit(0))).otherwise(F.lit(0).cast("bigint"))
+    enriched = F.when(short, F.col("enriched")).otherwise(F.lit(0))
+    early = F.coalesce(-F.unix_micros("discovered_at"), F.lit(0).cast("bigint"))
+    return F.struct(short.alias("short"), views.alias("views"), enriched.alias("enriched"), early.alias("early"), (-F.col("link_id")).alias("neg"))
 
 
-def clusters(links: DataFrame, scope: str = "hypothesis_id") -> DataFrame:
-    """(scope, link_id, cluster, representative): links with one canonical url, or whose url buckets'
+def clusters(links: DataFrame, scope: str = "hypothesis_id", videos: DataFrame | None = None) -> DataFrame:
+    """(scope, link_id, cluster, representative, ord): links with one canonical url, or whose url buckets'
     representatives share a content hash, are one cluster.
 
+    The canonical url is that of ``canonical_url``, or of ``url`` where it is missing; links without either share a bucket.
     A bucket has one hash, so groups of buckets are equivalence classes and need no
-    search for components. A bucket without a hash stands alone. ``cluster`` names the group; every step is
-    an aggregate with partial results, joined back by equality.
+    search for components; a bucket without a hash stands alone. ``cluster`` names the group and ``ord`` is the order of members:
+    by the first link of their bucket, then by id. Every step is an aggregate with partial results, joined back by equality.
     """
-    base = cut(links.select(
-        F.coalesce(scope, F.lit("")).alias("scope"), "link_id", F.md5(F.coalesce(F.nullif(canonical_url(F.col("url")), F.lit("")), F.concat(F.lit("\u0000"), F.col("link_id").cast("string")))).alias("bucket"),
-        content_hash(F.col("title"), F.col("snippet")).alias("hash"), representative_key().alias("key"),
+    url = F.coalesce(F.nullif(F.col("canonical_url"), F.lit("")), F.col("url"))
+    short = F.coalesce(F.col("is_short_video"), F.lit(False))
+    body = F.when(short, F.coalesce(F.nullif("caption", F.lit("")), F.col("snippet"))).otherwise(F.col("snippet"))
+    base = cut(with_videos(links.select(scope, "link_id", "url", "canonical_url", "title", "snippet", "is_short_video", "view_count", "discovered_at"), videos).select(
+        F.coalesce(scope, F.lit("")).alias("scope"), "link_id", F.md5(canonical_url(url)).alias("bucket"), content_hash(F.col("title"), body).alias("hash"), representative_key().alias("key"),
     ))  # fmt: skip — the keys are read twice
-    buckets = base.groupBy("scope", "bucket").agg(F.max(F.struct("key", "hash")).alias("top"))
-    named = buckets.select("scope", "bucket", F.coalesce(F.concat(F.lit("h:"), F.col("top.hash")), F.concat(F.lit("u:"), F.col("bucket"))).alias("cluster"), F.col("top.key").alias("key"))
+    buckets = base.groupBy("scope", "bucket").agg(F.max(F.struct("key", "hash")).alias("top"), F.min("link_id").alias("first"))
+    named = buckets.select("scope", "bucket", "first", F.coalesce(F.concat(F.lit("h:"), F.col("top.hash")), F.concat(F.lit("u:"), F.col("bucket"))).alias("cluster"), F.col("top.key").alias("key"))
     heads = named.groupBy("scope", "cluster").agg((-F.max("key")["neg"]).alias("representative"))
-    whole = named.select("scope", "bucket", "cluster").join(heads, ["scope", "cluster"])
-    return base.select("scope", "bucket", "link_id").join(whole, ["scope", "bucket"]).select(F.col("scope").alias(scope), "link_id", "cluster", "representative")
+    whole = named.select("scope", "bucket", "cluster", "first").join(heads, ["scope", "cluster"])
+    joined = base.select("scope", "bucket", "link_id").join(whole, ["scope", "bucket"])
+    return joined.select(F.col("scope").alias(scope), "link_id", "cluster", "representative", F.struct("first", "link_id").alias("ord"))
 
 
 def also_found_on(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(representative, also_found_on): the other channels of a cluster in order of their first link, joined by commas."""
+    """(representative, also_found_on): the other channels of a cluster in order of their first member, joined by commas."""
     ch = members.join(links.select("link_id", "channel"), "link_id")
     own = ch.where("link_id = representative").select("representative", F.col("channel").alias("own")).distinct()
-    first = ch.groupBy("representative", "channel").agg(F.min("link_id").alias("ord"))
+    first = ch.groupBy("representative", "channel").agg(F.min("ord").alias("ord"))
     other = first.join(own, "representative").where(~F.col("channel").eqNullSafe(F.col("own")) & F.col("channel").isNotNull())
     # at most one entry a channel
     return other.groupBy("representative").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "channel"))), lambda s: s["channel"]), ",").alias("also_found_on"))
 
 
+def cluster_sizes(members: DataFrame, links: DataFrame, scope: str = "hypothesis_id") -> DataFrame:
+    """One row per cluster: its scope, representative, number of links, and number of channels."""
+    ch = members.join(links.select("link_id", "channel"), "link_id")
+    per = ch.groupBy(scope, "representative", "channel").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("ord"))
+    return per.groupBy(scope, "representative").agg(F.sum("n").alias("size"), F.count("channel").alias("n_channels"), F.min("ord").alias("ord"))
+
+
 def channel_ranks(links: DataFrame) -> DataFrame:
     """rank_in_channel within hypothesis and channel: short videos by engagement (null as 0), others first come first served."""
-    score = F.when(F.col("is_short_video"), F.coalesce(engagement(F.col("view_count"), F.col("like_count"), F.col("comment_count")), F.lit(0.0))).otherwise(0.0)
-    w = Window.partitionBy("hypothesis_id", "channel").orderBy(F.desc("_score"), "link_id")
-    return links.withColumn("_score", score).withColumn("rank_in_channel", F.row_number().over(w)).drop("_score")
+    return links.withColumn("_score", channel_score()).withColumn("rank_in_channel", F.row_number().over(Window.partitionBy("hypothesis_id", "channel").orderBy(F.desc("_score"), "link_id"))).drop("_score")
+
+
+def channel_score() -> Column:
+    """Engagement of short videos (null as 0), 0 for others."""
+    return F.when(F.col("is_short_video"), F.coalesce(engagement(F.col("view_count"), F.col("like_count"), F.col("comment_count")), F.lit(0.0))).otherwise(0.0)
 
 
 def balanced_cut(links: DataFrame, size: int = 30) -> DataFrame:
@@ -113,10 +141,10 @@ def verdict_place(v: Column) -> Column:
 
 def url_rollup(links: DataFrame) -> DataFrame:
     """One row per canonical url over all hypotheses: how many, which verdict most often (ties: first seen), the best confidence."""
-    keyed = links.select("link_id", "hypothesis_id", "verdict", "confidence", F.md5(canonical_url(F.col("url"))).alias("url_key"), representative_key().alias("key"))
+    keyed = links.select("link_id", "hypothesis_id", "verdict", "confidence", F.md5(canonical_url(F.col("url"))).alias("url_key"), F.coalesce("is_short_video", F.lit(False)).alias("short"), F.coalesce("view_count", F.lit(0)).alias("views"))
     votes = keyed.where("verdict is not null").groupBy("url_key", "verdict").agg(F.count(F.lit(1)).alias("n"), F.min("link_id").alias("first"))
     majority = votes.groupBy("url_key").agg(F.max_by("verdict", F.struct("n", (-F.col("first")).alias("f"))).alias("verdict_majority"))
-    hyps = keyed.groupBy("url_key", "hypothesis_id").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"), F.max("key").alias("key"))
+    hyps = keyed.groupBy("url_key", "hypothesis_id").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("confidence"), F.max(F.struct("short", "views", (-F.col("link_id")).alias("neg"))).alias("key"))
     total = hyps.groupBy("url_key").agg(
         F.count("hypothesis_id").alias("n_hypotheses"), F.sum("n").alias("n_links"), F.max("confidence").alias("confidence_max"), (-F.max("key")["neg"]).alias("representative")
     )

@@ -13,7 +13,7 @@ from factloom.operators import queries as Q
 from factloom.operators import topics as P
 from factloom.plans import export
 from factloom.plans.reference_queries import CANON, ORACLES, QUERIES, _CLUSTERS, _htext, _HTEXT, host_sql, members, query, quoted, scalar
-from factloom.session import table
+from factloom.session import big_rank, table
 
 c = F.col
 
@@ -115,20 +115,12 @@ def pair_pooled(spark, sf_dir):
     return sides.join(links, "hypothesis_id").groupBy("id_a", "id_b", "channel", "q").agg(F.min("link_id").alias("link_id"))
 
 
-@query("""select link_id, (row_number() over (partition by hypothesis_id order by link_id) - 1) // 6 as batch, case when lower(verdict) in ('supports', 'refutes', 'tangential') then lower(verdict) else 'tangential' end as verdict, least(1.0, greatest(0.0, coalesce(confidence, 0.3))) as confidence from links""")
+@query("""select link_id, (row_number() over (partition by hypothesis_id order by link_id) - 1) // 6 as batch, case when lower(verdict) in ('supports', 'refutes', 'tangential') then lower(verdict) else 'tangential' end as verdict, least(1.0, greatest(0.0, coalesce(confidence, 0.5))) as confidence from links""")
 def llm_verdict_batch(spark, sf_dir):
-    """Batches of six for a model, and the validation of its answers: known verdicts, confidence within 0 and 1."""
-    w = Window.partitionBy("hypothesis_id").orderBy("link_id")
+    """Batches of six for a model, and the validation of its answers: known verdicts, confidence within 0 and 1 (missing as 0.5)."""
     v = F.lower("verdict")
-    return table(spark, sf_dir, "links").select("link_id", F.floor((F.row_number().over(w) - 1) / 6).alias("batch"), F.when(v.isin(*L.VERDICT_ORDER), v).otherwise("tangential").alias("verdict"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(0.3)))).alias("confidence"))
-
-
-@query(f"with {_CLUSTERS}, s as (select sc, representative, count(*) as size from cx group by 1, 2), o as (select *, row_number() over (partition by sc order by size desc, representative) as place from s) select sc as hypothesis_id, representative, size, place from o where place <= 100")
-def cluster_order(spark, sf_dir):
-    """A report of the 100 largest clusters of each hypothesis."""
-    sizes = members(spark, sf_dir).groupBy("hypothesis_id", "representative").agg(F.count(F.lit(1)).alias("size"))
-    w = Window.partitionBy("hypothesis_id").orderBy(F.desc("size"), "representative")
-    return sizes.withColumn("place", F.row_number().over(w)).where("place <= 100").withColumn("place", c("place").cast("bigint"))
+    slim = table(spark, sf_dir, "links").select("link_id", "hypothesis_id", F.when(v.isin(*L.VERDICT_ORDER), v).otherwise("tangential").alias("verdict"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("confidence", F.lit(0.5)))).alias("confidence"))
+    return big_rank(slim, ["hypothesis_id"], [c("link_id")], "n").select("link_id", F.floor((c("n") - 1) / 6).alias("batch"), "verdict", "confidence")
 
 
 @query(f"with {_CLUSTERS}, e as (select distinct x.sc, x.representative from cx x join links l on l.link_id = x.representative where l.is_short_video and l.duration_sec is null), o as (select *, row_number() over (partition by sc order by representative) as n from e) select sc as hypothesis_id, representative from o where n <= 30")

@@ -12,7 +12,7 @@ from factloom.functions import text as T
 from factloom.functions import urls as U
 from factloom.operators import hypotheses as H
 from factloom.operators import links as L
-from factloom.session import salted_join, table
+from factloom.session import big_rank, salted_join, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -366,7 +366,9 @@ _RANK = f"ranked as (select *, row_number() over (partition by hypothesis_id, ch
 
 @query(f"with {_RANK} select link_id, rank_in_channel from ranked")
 def within_channel_rank(spark, sf_dir):
-    return L.channel_ranks(table(spark, sf_dir, "links")).select("link_id", c("rank_in_channel").cast("bigint"))
+    """The whole order within each hypothesis and channel, numbered in parts as one hypothesis may hold a tenth of all rows."""
+    scored = table(spark, sf_dir, "links").select("link_id", "hypothesis_id", "channel", (-L.channel_score()).alias("score"))
+    return big_rank(scored, ["hypothesis_id", "channel"], [c("score"), c("link_id")], "rank_in_channel").select("link_id", "rank_in_channel")
 
 
 _CUT = f"{_RANK}, cut as (select *, row_number() over (partition by hypothesis_id order by rank_in_channel, first_id) as cut_pos from (select *, min(link_id) over (partition by hypothesis_id, channel) as first_id from ranked) where channel is not null and hypothesis_id is not null)"
@@ -387,11 +389,11 @@ def triage(spark, sf_dir):
     return kept.select("hypothesis_id", "link_id", c("found").alias("verdict"), "confidence", F.row_number().over(w).cast("bigint").alias("place"))
 
 
-@query("select hypothesis_id, link_id, place from (select *, row_number() over (partition by hypothesis_id order by case verdict when 'supports' then 0 when 'refutes' then 1 else 2 end, confidence desc nulls last, link_id) as place from links) where place <= 100")
+@query("select hypothesis_id, link_id, row_number() over (partition by hypothesis_id order by case verdict when 'supports' then 0 when 'refutes' then 1 else 2 end, coalesce(confidence, 0) desc, link_id) as place from links")
 def verdict_rank(spark, sf_dir):
-    """A report of the 100 best links of each hypothesis: verdict, then confidence, then id."""
-    w = Window.partitionBy("hypothesis_id").orderBy(L.verdict_place(c("verdict")), F.desc_nulls_last("confidence"), "link_id")
-    return table(spark, sf_dir, "links").withColumn("place", F.row_number().over(w)).where("place <= 100").select("hypothesis_id", "link_id", c("place").cast("bigint"))
+    """All links of each hypothesis in order of verdict, confidence and id."""
+    keyed = table(spark, sf_dir, "links").select("hypothesis_id", "link_id", L.verdict_place(c("verdict")).alias("v"), (-F.coalesce("confidence", F.lit(0.0))).alias("o"))
+    return big_rank(keyed, ["hypothesis_id"], [c("v"), c("o"), c("link_id")], "place").select("hypothesis_id", "link_id", "place")
 
 
 @query("""with s as (select hypothesis_id, link_id, verdict, row_number() over (partition by hypothesis_id, verdict order by confidence desc nulls last, link_id) as n from links where verdict in ('supports', 'refutes', 'tangential')),
@@ -444,17 +446,23 @@ def pool_pick(spark, sf_dir):
     return table(spark, sf_dir, "links").where(c("url").contains("forum.")).select("hypothesis_id", "link_id", F.row_number().over(w).alias("n")).where("n <= 20").drop("n")
 
 
-_ORDER = "coalesce(is_short_video, false) desc, coalesce(view_count, -1) desc, filled desc, discovered_at asc nulls last, link_id"
-_CLUSTERS = f"""{CANON}, cb as (select link_id, hypothesis_id, coalesce(hypothesis_id, '') as sc, channel, is_short_video, view_count, discovered_at, coalesce(nullif(canon, ''), chr(1) || link_id::varchar) as bucket, {hash_sql('title', 'snippet')} as h,
- (like_count is not null)::int + (comment_count is not null)::int + (share_count is not null)::int + (duration_sec is not null)::int + (creator is not null)::int as filled from cl),
-cr as (select *, row_number() over (partition by sc, bucket order by {_ORDER}) as n from cb),
-cn as (select sc, bucket, coalesce('h:' || h, 'u:' || bucket) as cluster from cr where n = 1),
-cm as (select cb.*, cn.cluster from cb join cn using (sc, bucket)),
-cx as (select *, first_value(link_id) over (partition by sc, cluster order by {_ORDER}) as representative from cm)"""
+_RICH = "sv desc, views desc, rich desc, age desc, link_id"
+_CLUSTERS = f"""{CANON.replace("'g') as url) from links)", "'g') as url) from (select * replace (coalesce(nullif(canonical_url, ''), url) as url) from links))").replace("p0 as", "ck0 as").replace("from p0", "from ck0").replace("pu as", "cku as").replace("from pu", "from cku").replace("pq as", "ckq as").replace("from pq", "from ckq").replace("cl as", "ckl as")},
+cv as (select link_id, max(caption) as caption, max(coalesce((len(top_comments) > 0)::int, 0) + coalesce((transcript <> '')::int, 0)) as enriched from short_videos group by 1),
+cb as (select l.link_id, hypothesis_id, coalesce(hypothesis_id, '') as sc, channel, discovered_at, canon as bucket, coalesce(is_short_video, false) as sv, case when is_short_video then coalesce(view_count, 0) else 0 end as views,
+ case when is_short_video then coalesce(enriched, 0) else 0 end as rich, coalesce(-epoch_us(discovered_at), 0) as age, {hash_sql('title', "case when is_short_video then coalesce(nullif(caption, ''), snippet) else snippet end")} as h from ckl l left join cv using (link_id)),
+cr as (select *, row_number() over (partition by sc, bucket order by {_RICH}) as n, min(link_id) over (partition by sc, bucket) as first from cb),
+cn as (select sc, bucket, first, coalesce('h:' || h, 'u:' || bucket) as cluster from cr where n = 1),
+cm as (select cb.*, cn.cluster, cn.first from cb join cn using (sc, bucket)),
+cx as (select *, first_value(link_id) over (partition by sc, cluster order by {_RICH}) as representative from cm)"""
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.clusters(table(spark, sf_dir, "links"))
+    return L.clusters(table(spark, sf_dir, "links"), videos=table(spark, sf_dir, "short_videos"))
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.cluster_sizes(members(spark, sf_dir), table(spark, sf_dir, "links"))
 
 
 @query(f"with {_CLUSTERS} select link_id, representative from cx")
@@ -462,30 +470,45 @@ def cluster_links(spark, sf_dir):
     return members(spark, sf_dir).select("link_id", "representative")
 
 
-@query(f"with {_CLUSTERS} select sc as hypothesis_id, count(*) as n_links, count(distinct cluster) as n_clusters, count(*) - count(distinct cluster) as collapsed, round(count(distinct cluster) / count(*), 2) as ratio from cx group by 1")
+@query(f"with {_CLUSTERS}, k as (select sc, cluster, count(*) as n, count(distinct channel) as ch from cx group by 1, 2) select sc as hypothesis_id, sum(n)::bigint as input_links, count(*) as clusters, (sum(n) - count(*))::bigint as collapsed, count(*) filter (ch > 1) as cross_platform_clusters, round_even(sum(n) / count(*), 2) as compression_ratio from k group by 1")
 def cluster_stats(spark, sf_dir):
-    sizes = members(spark, sf_dir).groupBy("hypothesis_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    whole = sizes.groupBy("hypothesis_id").agg(F.sum("n").alias("n_links"), F.count(F.lit(1)).alias("n_clusters"))
-    return whole.select("hypothesis_id", "n_links", "n_clusters", (c("n_links") - c("n_clusters")).alias("collapsed"), F.round(c("n_clusters") / c("n_links"), 2).alias("ratio"))
+    """Links, clusters, links that fell together, clusters over several channels, and links per cluster."""
+    whole = sizes(spark, sf_dir).groupBy("hypothesis_id").agg(F.sum("size").alias("input_links"), F.count(F.lit(1)).alias("clusters"), F.count_if(c("n_channels") > 1).alias("cross_platform_clusters"))
+    return whole.select("hypothesis_id", "input_links", "clusters", (c("input_links") - c("clusters")).alias("collapsed"), "cross_platform_clusters", F.bround(c("input_links") / c("clusters"), 2).alias("compression_ratio"))
 
 
 @query(f"with {_CLUSTERS} select representative, count(*) as size, count(distinct channel) as n_channels, count(distinct channel) > 1 as cross_platform from cx group by 1")
 def representative(spark, sf_dir):
-    ch = members(spark, sf_dir).join(table(spark, sf_dir, "links").select("link_id", "channel"), "link_id")
-    per = ch.groupBy("representative", "channel").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("representative").agg(F.sum("n").alias("size"), F.count("channel").alias("n_channels"), (F.count("channel") > 1).alias("cross_platform"))
+    return sizes(spark, sf_dir).select("representative", "size", "n_channels", (c("n_channels") > 1).alias("cross_platform"))
+
+
+@query(f"with {_CLUSTERS}, k as (select sc, representative, count(*) as size, min(first) as first, any_value(sv) filter (link_id = representative) as sv, max(views) filter (link_id = representative) as views, max(rich) filter (link_id = representative) as rich, max(age) filter (link_id = representative) as age from cx group by 1, 2) select sc as hypothesis_id, representative, size, row_number() over (partition by sc order by size desc, sv desc, views desc, rich desc, age desc, first) as place from k")
+def cluster_order(spark, sf_dir):
+    """All clusters of each hypothesis: larger ones first, then the richer representative, then the first seen."""
+    links = L.with_videos(table(spark, sf_dir, "links"), table(spark, sf_dir, "short_videos"))
+    heads = links.select(c("link_id").alias("representative"), L.representative_key().alias("key"))
+    whole = sizes(spark, sf_dir).join(heads, "representative")
+    order = [(-c("size")).alias("a"), (~c("key.short")).alias("b"), (-c("key.views")).alias("v"), (-c("key.enriched")).alias("e"), (-c("key.early")).alias("t"), c("ord.first").alias("f")]
+    keyed = whole.select("hypothesis_id", "representative", "size", *order)
+    return big_rank(keyed, ["hypothesis_id"], [c(x) for x in "abvetf"], "place").select("hypothesis_id", "representative", "size", "place")
 
 
-@query(f"""with {_CLUSTERS}, o as (select representative, max(case when link_id = representative then channel end) as own from cx group by 1), f as (select representative, channel, min(link_id) as i from cx where channel is not null group by 1, 2)
+@query(f"""with {_CLUSTERS}, o as (select representative, max(case when link_id = representative then channel end) as own from cx group by 1), f as (select representative, channel, min(first * 1000000000 + link_id) as i from cx where channel is not null group by 1, 2)
 select representative, string_agg(channel, ',' order by i) as also_found_on from f join o using (representative) where channel is distinct from own group by 1""")
 def also_found_on(spark, sf_dir):
     return L.also_found_on(members(spark, sf_dir), table(spark, sf_dir, "links"))
 
 
-@query(f"with {_CLUSTERS} select x.link_id, r.verdict, r.confidence from cx x join links r on r.link_id = x.representative")
+@query(f"""with {_CLUSTERS} select x.link_id, r.verdict, r.confidence, array_to_string(list_sort(list_distinct(list_concat(coalesce(m.signal_tags, []), coalesce(r.signal_tags, [])))), ',') as signal_tags
+ from cx x join links r on r.link_id = x.representative join links m on m.link_id = x.link_id""")
 def propagate_verdicts(spark, sf_dir):
-    heads = table(spark, sf_dir, "links").select(c("link_id").alias("representative"), "verdict", "confidence")
-    return members(spark, sf_dir).select("link_id", "representative").join(heads, "representative").drop("representative")
+    """Each link with the verdict of its cluster's representative, and the tags of both."""
+    links = table(spark, sf_dir, "links")
+    heads = links.select(c("link_id").alias("representative"), "verdict", "confidence", c("signal_tags").alias("theirs"))
+    none = F.array().cast("array<string>")
+    own = members(spark, sf_dir).select("link_id", "representative").join(links.select("link_id", "signal_tags"), "link_id")
+    tags = F.array_join(F.array_sort(F.array_union(F.coalesce("signal_tags", none), F.coalesce("theirs", none))), ",")
+    return own.join(heads, "representative").select("link_id", "verdict", "confidence", tags.alias("signal_tags"))
 
 
 @query("select hypothesis_id, channel, min(link_id) as link_id, lower(trim(query_text)) as query_text from links where trim(query_text) <> '' group by hypothesis_id, channel, lower(trim(query_text))")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 _FOLDERS: set[str] = set()
@@ -90,6 +92,23 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def big_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """df with its row number in ``order`` within each group of ``by``, where one group may hold a large part of all rows.
+
+    Rows are ranged over tasks by group and order, so a hot group spans many tasks; each task numbers its own
+    part, and the counts of the parts before it are added. ``order`` must decide between any two rows of a group.
+    The parts are written once, as both steps must see the same ones."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ranged = cut(df.repartitionByRange(parts, *[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id()))
+    own = ranged.withColumn(name, F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
+    sizes = ranged.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    # a group has at most one row a part here
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_n")).select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_p"), "_before")
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], F.col("_part") == F.col("_p"))
+    return own.join(before, same).withColumn(name, (F.col(name) + F.col("_before")).cast("bigint")).select(*df.columns, name)
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: str, salt_of: Column, how: str = "left", salts: int = 16) -> DataFrame:
     """Join a skewed side with a far smaller one: big rows are spread over ``salts``
     sub-keys by ``salt_of`` and the small side is repeated once per sub-key, so
