@@ -86,6 +86,11 @@ def term_pattern(terms: Column) -> Column:
     return F.when(F.size(plain) > 0, F.concat(F.lit(r"(?i)\b("), F.array_join(plain, "|"), F.lit(r")(?:s|es|ed|ing|er|ers|ly)?\b")))
 
 
+def matched(text: Column, pattern: Column) -> Column:
+    """The terms that a pattern of term_pattern meets in a text, each once in lower case, in order."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, pattern, 1), F.lower))
+
+
 def hit_rate(text: Column, pattern: Column) -> Column:
     """Matches per word, at most 1; 0 without text or pattern."""
     words = F.greatest(F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+")), F.lit(1))

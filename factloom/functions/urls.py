@@ -159,3 +159,13 @@ def clip_parts(url: Column) -> tuple[Column, Column]:
         .when(a["discover"] != "", F.concat(F.lit(base + "discover/"), a["discover"])).when(a["tag"] != "", F.concat(F.lit(base + "tag/"), a["tag"]))
     )
     return kind, canon
+
+
+def clip_creator(url: Column) -> Column:
+    return F.nullif(F.regexp_extract(url, _CLIP["video"], 1), F.lit(""))
+
+
+def clip_tag(url: Column) -> Column:
+    """The topic of a discover or tag page as one word in lower case."""
+    slug = F.coalesce(*[F.nullif(F.regexp_extract(url, _CLIP[k], 1), F.lit("")) for k in ("discover", "tag")])
+    return F.when(F.regexp_extract(url, _CLIP["video"], 1) == "", F.nullif(F.lower(F.regexp_replace(slug, "[-_]", "")), F.lit("")))

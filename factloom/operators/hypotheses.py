@@ -25,7 +25,7 @@ IDENTITIES = (
 ).split(",")
 PLACES = (
     "indian,american,british,european,chinese,japanese,korean,german,french,italian,spanish,mexican,canadian,australian,russian,brazilian,south asian,latin,african,"
-    "middle eastern,desi,india,usa,uk,us,china,japan,germany,france,brazil,russia,canada,australia,italy,spain,mexico,korea,north america,south america,europe,asia,"
+    "middle eastern,desi,india,usa,uk,u.s.,u.s.a.,us,china,japan,germany,france,brazil,russia,canada,australia,italy,spain,mexico,korea,north america,south america,europe,asia,"
     "africa,bengaluru,bangalore,mumbai,bombay,delhi,new delhi,ncr,gurugram,gurgaon,noida,chennai,madras,hyderabad,kolkata,calcutta,pune,ahmedabad,kochi,cochin,jaipur,"
     "lucknow,indore,chandigarh,surat,nagpur,thiruvananthapuram,trivandrum,vizag,visakhapatnam,coimbatore,vadodara"
 ).split(",")
@@ -87,12 +87,34 @@ def pairs(hypotheses: DataFrame) -> DataFrame:
 
 
 def preview(hypotheses: DataFrame) -> DataFrame:
-    """Core problems with their number of hypotheses, first statement that is not blank, and first and last id."""
+    """Core problems with their number of hypotheses, first statement that is not blank, ids in order, and hypotheses without a statement."""
     df = hypotheses.withColumn("core_problem_id", F.coalesce(F.nullif(F.trim("core_problem_id"), F.lit("")), F.lit("_uncategorized")))
     said = F.nullif(F.trim("core_problem_statement"), F.lit(""))
     return df.groupBy("core_problem_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by(said, F.when(said.isNotNull(), F.col("hypothesis_id"))).alias("statement"), F.min("hypothesis_id").alias("first_id"), F.max("hypothesis_id").alias("last_id")
-    )
+        F.count(F.lit(1)).alias("n"), F.min_by(said, F.when(said.isNotNull(), F.col("hypothesis_id"))).alias("statement"),
+        F.array_join(F.array_sort(F.collect_list("hypothesis_id")), ",").alias("hypothesis_ids"), F.count_if(F.coalesce(F.trim("statement"), F.lit("")) == "").alias("without_statement"),
+    )
+
+
+def decompose(hypotheses: DataFrame, context: dict | None = None) -> DataFrame:
+    """Each hypothesis taken apart: primary_entity, competitors, pains, aspirations, identities, places, topics, signals.
+
+    ``context`` is what a manifest gives (brand, competitors, geo, cohorts, topics): the brand replaces the first entity, competitors and places of the
+    manifest come first (eight competitors at most), its cohorts and topics last (24 topics at most)."""
+    from factloom.operators import manifest as M
+    from factloom.operators import topics as P
+
+    given = lambda k: F.array(*map(F.lit, (context or {}).get(k) or [])).cast("array<string>")
+    brand = F.lit((context or {}).get("brand"))
+    text = F.concat_ws(" ", "statement", "rationale", "core_problem_statement")
+    found = hypotheses.withColumn("_e", M.named_entities(F.coalesce(P.entities(F.col("statement")), F.array().cast("array<string>"))))
+    rest = F.filter(F.slice("_e", 2, 1000), lambda x: F.lower(x) != F.lower(F.coalesce(brand, F.lit(""))))
+    topics = F.slice(F.array_union(P.topics(text), given("topics")), 1, 24)
+    return found.select(
+        "hypothesis_id", F.coalesce(brand, P.primary(F.col("_e"))).alias("primary_entity"), F.slice(F.array_union(given("competitors"), rest), 1, 8).alias("competitors") if context else rest.alias("competitors"),
+        lexicon_hits(text, PAINS).alias("pains"), lexicon_hits(text, ASPIRATIONS).alias("aspirations"), F.array_union(lexicon_hits(text, IDENTITIES, True), given("cohorts")).alias("identities"),
+        F.array_union(given("geo"), lexicon_hits(text, sorted(PLACES, key=lambda t: (-len(t), t)), True)).alias("places"), topics.alias("topics"), list_cell(F.coalesce("expected_signals", F.lit(""))).alias("signals"),
+    )
 
 
 def signal_rows(hypotheses: DataFrame) -> DataFrame:

@@ -149,3 +149,16 @@ def url_rollup(links: DataFrame) -> DataFrame:
         F.count("hypothesis_id").alias("n_hypotheses"), F.sum("n").alias("n_links"), F.max("confidence").alias("confidence_max"), (-F.max("key")["neg"]).alias("representative")
     )
     return total.join(majority, "url_key", "left")
+
+
+def host_matches(links: DataFrame, patterns: list[tuple[str, str, int]]) -> DataFrame:
+    """links with a ``host`` once for each (pattern, kind, n) that it matches; the list is a parameter, so no join is needed."""
+    tests = [F.when((F.col("host") == p) | F.col("host").endswith("." + p) if kind == "suffix" else F.col("host").contains(p), F.struct(F.lit(p).alias("pattern"), F.lit(n).alias("asked"))) for p, kind, n in patterns]
+    return links.withColumn("_m", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull()))).select("*", "_m.*").drop("_m")
+
+
+def pool_pick(links: DataFrame, patterns: list[tuple[str, str, int]]) -> DataFrame:
+    """The first links of each hypothesis and pattern, as many as the pattern asks; Spark prunes each task to the group's limit first."""
+    most = max((n for _, _, n in patterns), default=0)
+    w = Window.partitionBy("hypothesis_id", "pattern").orderBy("link_id")
+    return host_matches(links, patterns).withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).where(F.col("n") <= F.col("asked"))

@@ -35,12 +35,13 @@ CAPITALISED = r"([A-Z][A-Za-z0-9'’&-]*(?:\s+[A-Z][A-Za-z0-9'’&-]*)*)"
 
 
 def entities(text: Column) -> Column:
-    """Capitalised phrases of a text in order, without leading function words, places and role nouns; each once."""
+    """Capitalised phrases of a text in order, without leading function words, places and role nouns; each once, whatever its case."""
     found = F.regexp_extract_all(text, F.lit(r"\b" + CAPITALISED), 1)
     head = lambda s: F.lower(F.substring_index(s, " ", 1))
     cut = F.transform(found, lambda s: F.when(head(s).isin(*HEAD_WORDS), F.regexp_replace(s, r"^\S+\s*", "")).otherwise(s))
     kept = F.filter(cut, lambda s: (F.length(s) >= 3) & ~F.lower(s).isin(*HEAD_WORDS) & ~F.lower(s).isin(*PLACES) & ~head(s).isin(*ROLE_NOUNS))
-    return F.array_distinct(kept)
+    low = F.transform(kept, F.lower)
+    return F.filter(kept, lambda s, i: F.array_position(low, F.lower(s)) == i + 1)
 
 
 def primary(found: Column) -> Column:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import html
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.links import VERDICT_ORDER
@@ -24,9 +25,46 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def link_rows(links: DataFrame, videos: DataFrame) -> DataFrame:
+    """The full row of each link as text, short-video columns empty for other links. Videos of one id count once."""
+    line = lambda x: F.regexp_replace(x, r"[\r\n]", " ")
+    bare = lambda x: F.regexp_replace(line(x), r"^\s+|\s+$", "")
+    text = lambda x: F.coalesce(F.col(x), F.lit(""))
+    items = lambda x: F.coalesce(F.array_join(F.transform(F.filter(x, lambda y: y != ""), bare), " | "), F.lit(""))
+    number = lambda x: F.coalesce(F.regexp_replace(F.regexp_replace(F.format_string("%.6f", F.col(x)), "0+$", ""), r"\.$", ""), F.lit(""))
+    fraction = lambda x: F.when(F.col(x).isNull(), "").otherwise(F.coalesce(F.nullif(number(x), F.lit("")), F.lit("0")))
+    at = lambda x: F.coalesce(F.concat(F.regexp_replace(F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", ""), F.lit("+00:00")), F.lit(""))
+    truth = lambda x: F.when(F.col(x), "true").when(~F.col(x), "false").otherwise("")
+    extra = videos.groupBy("link_id").agg(*[F.first(x).alias(x) for x in ("hashtags", "top_comments", "transcript")])
+    short = lambda v: F.when(F.col("is_short_video"), F.coalesce(v, F.lit(""))).otherwise("")
+    return links.join(extra, "link_id", "left").select(
+        "link_id", text("hypothesis_id").alias("hypothesis_id"), text("verdict").alias("verdict"), fraction("confidence").alias("confidence"), text("channel").alias("channel"), F.when(F.col("is_short_video"), "true").otherwise("false").alias("is_short_video"),
+        F.coalesce(F.nullif("geo_scope", F.lit("")), F.lit("unknown")).alias("geo_scope"), text("url").alias("url"), F.coalesce(F.nullif("canonical_url", F.lit("")), F.col("url"), F.lit("")).alias("canonical_url"),
+        line(text("title")).alias("title"), line(text("snippet")).alias("snippet"), short(F.col("creator")).alias("creator"), *[short(F.col(x).cast("string")).alias(x) for x in ("duration_sec", "view_count", "like_count", "comment_count", "share_count")],
+        short(fraction("engagement_score")).alias("engagement_score"), short(items("hashtags")).alias("hashtags"), short(items("top_comments")).alias("top_comments"), short(bare(F.substring("transcript", 1, 500))).alias("transcript_preview"),
+        items("signal_tags").alias("signal_tags"), items("also_found_on").alias("also_found_on"), text("query_text").alias("query_text"), F.coalesce(F.col("archetype").cast("string"), F.lit("")).alias("archetype"), text("archetype_name").alias("archetype_name"),
+        truth("falsifier").alias("falsifier"), text("target_signal").alias("target_signal"), text("backend_used").alias("backend_used"), at("discovered_at").alias("discovered_at"), at("observed_at").alias("observed_at"),
+    )
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """One folder of CSV part files with headers, written in parallel."""
-    flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """One folder of CSV part files, written in parallel, each with a header that begins with a byte order mark. Rows keep the order of df within a file, and files that of its partitions."""
+    out = flat(df)
+    out.withColumnRenamed(out.columns[0], "\ufeff" + out.columns[0]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def snapshot(df: DataFrame, path: str) -> None:
+    """Write df so that readers of ``path`` find the old table or the new one, never a part: to a folder beside it, then by a rename."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    new, old, target = hadoop(f"{path}.new-{uuid.uuid4().hex}"), hadoop(f"{path}.old-{uuid.uuid4().hex}"), hadoop(path)
+    df.write.parquet(new.toString())
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target):
+        files.rename(target, old)
+    if not files.rename(new, target):
+        raise OSError(f"cannot rename the new table to {path}")
+    files.delete(old, True)
 
 
 def results_json(links: DataFrame, hypotheses: DataFrame, chunk: int = 1000) -> DataFrame:
@@ -59,8 +97,18 @@ def results_json(links: DataFrame, hypotheses: DataFrame, chunk: int = 1000) ->
     return members.select(problem, "hypothesis_id", "part", F.to_json(result, options).alias("result"))
 
 
-def html_report(summary: DataFrame, most: int = 1000) -> str:
-    """A page with one table of at most ``most`` rows, every value escaped; for small summaries."""
-    head = "".join(f"<th>{html.escape(c)}</th>" for c in summary.columns)
-    body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in summary.limit(most).collect())
-    return f"<!doctype html><meta charset=utf-8><title>Report</title><table><tr>{head}</tr>{body}</table>"
+def html_report(summary: DataFrame) -> DataFrame:
+    """(part, html): a page with one table of all rows, every value escaped, as one text per partition, to be written in order: the head is
+    part of the first, the end of the last. Rows stay in the order of df."""
+    columns = summary.columns
+    cells = F.concat(*[F.concat(F.lit("<td>"), escaped(F.coalesce(F.col(x).cast("string"), F.lit(""))), F.lit("</td>")) for x in columns])
+    rows = summary.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("i"), F.concat(F.lit("<tr>"), cells, F.lit("</tr>")).alias("html"))
+    head = "<!doctype html><meta charset=utf-8><title>Report</title><table><tr>" + "".join(f"<th>{html.escape(x)}</th>" for x in columns) + "</tr>"
+    ends = summary.sparkSession.createDataFrame([(-1, -1, head), (2**31 - 1, 0, "</table>")], "part int, i long, html string")
+    return rows.unionByName(ends)
+
+
+def escaped(text: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text

@@ -12,7 +12,7 @@ from factloom.operators import links as L
 from factloom.operators import queries as Q
 from factloom.operators import topics as P
 from factloom.plans import export
-from factloom.plans.reference_queries import CANON, ORACLES, QUERIES, _CLUSTERS, _htext, _HTEXT, host_sql, members, query, quoted, scalar
+from factloom.plans.reference_queries import terms_sql, CANON, ORACLES, QUERIES, _CLUSTERS, _htext, _HTEXT, host_sql, members, query, quoted, scalar, values_sql
 from factloom.session import big_rank, table
 
 c = F.col
@@ -64,7 +64,7 @@ _FOUND = rf"""ef as (select hypothesis_id, list_filter(list_transform(regexp_ext
  lambda s: length(s) >= 3 and lower(s) not in ({quoted(P.HEAD_WORDS)}) and lower(s) not in ({quoted(H.PLACES)}) and lower(split_part(s, ' ', 1)) not in ({quoted(P.ROLE_NOUNS)})) as l from hypotheses)"""
 
 
-@query(f"with {_FOUND}, p as (select hypothesis_id, unnest(l) as entity, generate_subscripts(l, 1) as i from ef), f as (select hypothesis_id, entity, min(i) as i from p group by 1, 2) select hypothesis_id, row_number() over (partition by hypothesis_id order by i) - 1 as pos, entity from f")
+@query(f"with {_FOUND}, p as (select hypothesis_id, unnest(l) as entity, generate_subscripts(l, 1) as i from ef), f as (select hypothesis_id, min_by(entity, i) as entity, min(i) as i from p group by hypothesis_id, lower(entity)) select hypothesis_id, row_number() over (partition by hypothesis_id order by i) - 1 as pos, entity from f")
 def extract_entities(spark, sf_dir):
     rows = table(spark, sf_dir, "hypotheses").select("hypothesis_id", F.posexplode(P.entities(c("statement"))).alias("pos", "entity"))
     return rows.select("hypothesis_id", c("pos").cast("bigint"), "entity")
@@ -79,10 +79,14 @@ scalar(
 
 
 # --- lookups -------------------------------------------------------------------------------------------
-@query(rf"select link_id from links where regexp_matches({host_sql()}, '(?:^|\.)(?:larkfield\.example|grainpost1\.example)$') or contains({host_sql()}, 'oatwatch')")
+#: A pool's host patterns with the number of results asked of each: parts of hosts, and suffixes that begin with a dot or a name.
+PATTERNS = [("larkfield.example", "suffix", 5), ("grainpost1.example", "suffix", 3), ("oatwatch", "part", 20), ("forum.", "part", 20)]
+
+
+@query(rf"""with h as (select link_id, hypothesis_id, {host_sql()} as host from links), p(pattern, kind, n) as ({values_sql(PATTERNS)})
+select link_id, pattern from h join p on case kind when 'suffix' then host = pattern or ends_with(host, '.' || pattern) else contains(host, pattern) end""")
 def host_matches(spark, sf_dir):
-    host = U.host_of(c("url"))
-    return table(spark, sf_dir, "links").where(host.rlike(r"(?:^|\.)(?:larkfield\.example|grainpost1\.example)$") | host.contains("oatwatch")).select("link_id")
+    return L.host_matches(table(spark, sf_dir, "links").select("link_id", U.host_of(c("url")).alias("host")), PATTERNS).select("link_id", "pattern")
 
 
 @query("select count(*) as n_urls, count(b.url) as cached, count(*) - count(b.url) as missing from (select distinct url from links where url <> '') l left join (select distinct url from bodies where text <> '') b using (url)")
@@ -99,13 +103,6 @@ def quote_lookup(spark, sf_dir):
     return keyed.select("link_id", "k").join(first, "k").select("link_id", "quote")
 
 
-@query("select count(*) as n_quotes, axis from (select case when contains(s, 'price') or contains('price', s) then 'price' when contains(s, 'taste') then 'taste' when contains(s, 'label') then 'label' else 'none' end as axis from (select lower(target_signal) as s from links where target_signal <> '')) group by axis")
-def coverage_match(spark, sf_dir):
-    s = F.lower("target_signal")
-    axis = F.when(s.contains("price") | F.lit("price").contains(s), "price").when(s.contains("taste"), "taste").when(s.contains("label"), "label").otherwise("none")
-    return table(spark, sf_dir, "links").where("target_signal <> ''").groupBy(axis.alias("axis")).agg(F.count(F.lit(1)).alias("n_quotes"))
-
-
 @query("""with p as (select distinct least(a.hypothesis_id, b.hypothesis_id) as id_a, greatest(a.hypothesis_id, b.hypothesis_id) as id_b from hypotheses a join hypotheses b on b.hypothesis_id = a.contrarian_pair_id where a.hypothesis_id <> b.hypothesis_id)
 select id_a, id_b, channel, lower(trim(query_text)) as q, min(link_id) as link_id from p join links l on l.hypothesis_id = id_a or l.hypothesis_id = id_b where trim(query_text) <> '' group by 1, 2, 3, 4""")
 def pair_pooled(spark, sf_dir):
@@ -136,11 +133,6 @@ def results_json(spark, sf_dir):
     return export.results_json(table(spark, sf_dir, "links"), table(spark, sf_dir, "hypotheses"))
 
 
-@query("select hypothesis_id, count(*) as n_links, count(distinct channel) as n_channels, epoch_us(min(discovered_at)) as first_seen, epoch_us(max(discovered_at)) as last_seen from links group by 1")
-def batch_summary(spark, sf_dir):
-    return table(spark, sf_dir, "links").groupBy("hypothesis_id").agg(F.count(F.lit(1)).alias("n_links"), F.countDistinct("channel").alias("n_channels"), F.unix_micros(F.min("discovered_at")).alias("first_seen"), F.unix_micros(F.max("discovered_at")).alias("last_seen"))
-
-
 @query("select regexp_replace(hypothesis_id || ' ' || coalesce(dimension, ''), '[^A-Za-z0-9._\\-]', '_', 'g') as name, hypothesis_id from hypotheses")
 def safe_filename(spark, sf_dir):
     return table(spark, sf_dir, "hypotheses").select(F.regexp_replace(F.concat("hypothesis_id", F.lit(" "), F.coalesce("dimension", F.lit(""))), r"[^A-Za-z0-9._\-]", "_").alias("name"), "hypothesis_id")
@@ -156,7 +148,7 @@ def _lex(terms: list[str]) -> str:
     return f"list_sort(list_concat(list_filter([{quoted(one)}], lambda x: list_contains({_WORDSPLIT}, x)), {more}))"
 
 
-_SLOTS = rf"""{_FOUND}, pe as (select hypothesis_id, unnest(l) as entity, generate_subscripts(l, 1) as i from ef), pf as (select hypothesis_id, entity, min(i) as i from pe group by 1, 2),
+_SLOTS = rf"""{_FOUND}, pe as (select hypothesis_id, unnest(l) as entity, generate_subscripts(l, 1) as i from ef), pf as (select hypothesis_id, min_by(entity, i) as entity, min(i) as i from pe group by hypothesis_id, lower(entity)),
 pl as (select hypothesis_id, list(lower(entity) order by i) as e from pf group by 1), tx as (select hypothesis_id, {_HTEXT} as t from hypotheses),
 sl as (select hypothesis_id, e[1] as b, e[2:6] as alts, {_lex(H.PAINS)} as pains, {_lex(H.ASPIRATIONS)} as asp,
  coalesce(list_filter([{_TERMS}], lambda x: case when regexp_matches(x, '[ -]') then contains(t, x) else list_contains({_WORDSPLIT}, x) end)[1], e[1]) as cat from pl join tx using (hypothesis_id)),
@@ -184,15 +176,19 @@ def assemble_slots(spark, sf_dir):
     return Q.slots(table(spark, sf_dir, "hypotheses")).where("brand is not null").select("hypothesis_id", "brand", F.array_join("alternatives", ",").alias("alternatives"), F.array_join(F.slice("pains", 1, 3), ",").alias("pains"), "category")
 
 
-@query()
+@query(rf"""with t as (select hypothesis_id, {terms_sql('expected_signals')} as l from hypotheses), d as (select hypothesis_id, list_filter(list_transform(list_filter(l, lambda x, i: list_position(l, x) = i), lambda t: regexp_replace(t, '[^\p{{L}}\p{{N}}\-]', '', 'g')), lambda t: t <> '') as l from t)
+select hypothesis_id, case when len(l) > 0 then '(?i)\b(' || array_to_string(l, '|') || ')(?:s|es|ed|ing|er|ers|ly)?\b' end as pattern from d""")
 def compile_terms(spark, sf_dir):
     return table(spark, sf_dir, "hypotheses").select("hypothesis_id", T.term_pattern(T.signal_terms(T.list_cell(c("expected_signals")))).alias("pattern"))
 
 
 scalar("api_duration_band", "links", "link_id", lambda: {"short_band": F.coalesce(c("duration_sec") <= 181, F.lit(True)), "long_band": F.coalesce(c("duration_sec") >= 182, F.lit(True))}, "select link_id, coalesce(duration_sec <= 181, true) as short_band, coalesce(duration_sec >= 182, true) as long_band from links")
+#: Durations in every shape, beside the ids of links as texts that are none.
+ISO = ("url", [(-1 - i, t) for i, t in enumerate(("PT1H2M3S", "PT4M", "PT59S", "PT2H", "PT0S", "PT", "P1DT2H", "pt3m", "PT3M ", "", None, "PT100M1S"))])
 scalar(
-    "parse_iso_duration", "links", "link_id", lambda: {"seconds": T.iso_seconds(F.concat(F.lit("PT"), F.floor(c("duration_sec") / 60).cast("string"), F.lit("M"), (c("duration_sec") % 60).cast("string"), F.lit("S")))},
-    "select link_id, nullif(duration_sec, 0) as seconds from links",
+    "parse_iso_duration", "links", "link_id", lambda: {"seconds": T.iso_seconds(c("url"))},
+    r"with a as (select link_id, regexp_matches(url, '^PT(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?$') as ok, " + ", ".join(f"coalesce(try_cast(regexp_extract(url, '^PT(?:(\\d+)H)?(?:(\\d+)M)?(?:(\\d+)S)?$', {k}) as int), 0) as {n}" for k, n in ((1, "h"), (2, "m"), (3, "s"))) + " from links) select link_id, case when ok then nullif(h * 3600 + m * 60 + s, 0) end as seconds from a",
+    ISO,
 )
 scalar(
     "query_urls", "links", "link_id", lambda: {"search_url": F.concat(F.lit("https://www.google.com/search?q="), F.url_encode(F.regexp_replace("query_text", "[^A-Za-z0-9 ]", "")))},

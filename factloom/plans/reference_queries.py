@@ -29,13 +29,39 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-def scalar(name: str, source: str, key: str, columns: Callable[[], dict[str, Column]], sql: str) -> None:
-    """A query of one narrow projection: the key and computed columns of a whole table."""
+def values_sql(rows: list[tuple]) -> str:
+    show = lambda v: "null" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return "values " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
+
+
+def plus(spark: SparkSession, sf_dir: str, source: str, key: str, column: str, rows: list[tuple]) -> DataFrame:
+    """Key and one text column of a whole table, and further rows that meet the cases which the table lacks."""
+    df = table(spark, sf_dir, source).select(key, column)
+    return df.unionByName(spark.createDataFrame(rows, f"{key} {dict(df.dtypes)[key]}, {column} string"))
+
+
+def plus_sql(source: str, key: str, column: str, rows: list[tuple]) -> str:
+    return f"(select {key}, {column} from {source} union all {values_sql(rows)}) as {source}"
+
+
+def scalar(name: str, source: str, key: str, columns: Callable[[], dict[str, Column]], sql: str, extra: tuple[str, list[tuple]] | None = None) -> None:
+    """A query of one narrow projection: the key and computed columns of a whole table, with the ``extra`` (column, rows) if given."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, source).select(key, *[c.alias(n) for n, c in columns().items()])
+        df = plus(spark, sf_dir, source, key, *extra) if extra else table(spark, sf_dir, source)
+        return df.select(key, *[c.alias(n) for n, c in columns().items()])
+
+    query(sql.replace(f"from {source}", f"from {plus_sql(source, key, *extra)}") if extra else sql, name)(run)
 
-    query(sql, name)(run)
+
+#: Urls of the sites that the rules name, as the tables hold invented hosts only.
+URLS = ("url", [(-1 - i, u) for i, u in enumerate((
+    "https://www.quora.com/Is-this-tea-good/answer/Jane-Doe#c", "https://quora.com/Is-this-tea-good/answer/Jane-Doe?x=1", "https://www.quora.com/Best-indian-tea/", "https://foo.substack.com/p/an-essay?utm_source=1#x", "https://substack.com/@x",
+    "https://www.tiktok.com/@some.one/video/7123456789?x=1", "https://www.tiktok.com/discover/best-green-tea", "https://www.tiktok.com/tag/tea_time", "https://www.youtube.com/watch?a=1&v=abcdefghijk&t=3", "https://www.youtube.com/shorts/ABCDEFGHIJK",
+    "https://youtu.be/abc_EFGH-jk?si=2", "https://www.youtube.com/embed/abcdefghijk", "https://www.amazon.in/dp/B0", "https://www.flipkart.com/item", "https://blinkit.com/x", "https://www.trustpilot.com/review/a", "https://www.makemytrip.com/x",
+    "https://www.99acres.com/x", "https://www.justdial.com/x", "https://www.etsy.com/x", "https://www.reddit.com/r/india/comments/1", "https://www.reddit.com/r/tea/comments/2", "https://shop.example.in/a", "https://www.ndtv.com:443/x//y/?b=2&a=1&utm_id=3",
+    "HTTP://User@Example.COM:8080/a%20b/?q=x+y&q=&z", "ftp://a.example", "no scheme", "", None,
+))])
 
 
 def alts(words: list[str]) -> str:
@@ -78,13 +104,13 @@ cl as (select * exclude (_s, _n, _p, _q, _h, _port, _qq, _pp), case when url is
   lower(_s) || '://' || coalesce(_h, '') || case when _port <> '' and not (lower(_s) = 'https' and _port = '443') and not (lower(_s) = 'http' and _port = '80') then ':' || _port else '' end
   || case when length(_pp) > 1 then regexp_replace(_pp, '/+$', '') else _pp end || case when coalesce(_qq, '') <> '' then '?' || _qq else '' end end as canon from pq)"""
 
-scalar("canonical_url", "links", "link_id", lambda: {"canon": U.canonical_url(c("url"))}, f"with {CANON} select link_id, canon from cl")
-scalar("host_path", "links", "link_id", lambda: {"host": U.host_of(c("url")), "path": U.path_of(c("url"))}, f"with t as (select link_id, {strip_sql_blank('url')} as url from links) select link_id, {host_sql()} as host, lower(regexp_extract(url, '{_P}', 3)) as path from t")
+scalar("canonical_url", "links", "link_id", lambda: {"canon": U.canonical_url(c("url"))}, f"with {CANON} select link_id, canon from cl", extra=URLS)
+scalar("host_path", "links", "link_id", lambda: {"host": U.host_of(c("url")), "path": U.path_of(c("url"))}, f"with t as (select link_id, {strip_sql_blank('url')} as url from links) select link_id, {host_sql()} as host, lower(regexp_extract(url, '{_P}', 3)) as path from t", extra=URLS)
 
 _GEO = rf"""case when {host_sql()} is null then 'unknown' when regexp_matches({host_sql()}, '(?:{alts(U.INDIA_TLDS)})$') or regexp_matches({host_sql()}, '(?:^|\.)(?:{alts(U.INDIA_HOSTS)})$')
  or (contains({host_sql()}, 'reddit.com') and regexp_extract(lower(regexp_extract(url, '{_P}', 3)), '/r/([a-z0-9_]+)', 1) in ({quoted(U.INDIA_SUBREDDITS)}))
  or (contains({host_sql()}, 'quora.com') and regexp_matches(lower(regexp_extract(url, '{_P}', 3)), '{alts(U.QUORA_TOKENS)}')) then 'india' else 'row' end"""
-scalar("classify_geo", "links", "link_id", lambda: {"scope": U.geo_scope(c("url"))}, f"select link_id, {_GEO} as scope from links")
+scalar("classify_geo", "links", "link_id", lambda: {"scope": U.geo_scope(c("url"))}, f"select link_id, {_GEO} as scope from links", extra=URLS)
 
 
 @query("select coalesce(geo_scope, 'unknown') as geo_scope, count(*) as n from links group by 1")
@@ -93,29 +119,30 @@ def geo_counts(spark, sf_dir):
 
 
 _CLASS = "case " + " ".join(f"when regexp_matches(regexp_extract(lower(url), '^https?://([^/]+)/', 1), '(?:{alts(h.split())})$') then '{n}'" for n, h in U.SITE_CLASSES.items()) + " else 'other' end"
-scalar("host_category", "links", "link_id", lambda: {"host_class": U.site_class(c("url"))}, f"select link_id, {_CLASS} as host_class from links")
+scalar("host_category", "links", "link_id", lambda: {"host_class": U.site_class(c("url"))}, f"select link_id, {_CLASS} as host_class from links", extra=URLS)
 
 
-@query(f"select link_id from links where {_CLASS} <> 'other'")
+@query(f"select link_id from {plus_sql('links', 'link_id', *URLS)} where {_CLASS} <> 'other'")
 def is_marketplace_url(spark, sf_dir):
-    return table(spark, sf_dir, "links").where(U.site_class(c("url")) != "other").select("link_id")
+    return plus(spark, sf_dir, "links", "link_id", *URLS).where(U.site_class(c("url")) != "other").select("link_id")
 
 
-@query(rf"""select link_id from links where coalesce(url, '') <> '' and not regexp_matches(regexp_replace(split_part(regexp_replace(lower(url), '^https?://', ''), '/', 1), '^www\.', ''), '(?:^|\.)(?:{alts(U.WEB_EXCLUDED)})$')""")
+@query(rf"""select link_id from {plus_sql('links', 'link_id', *URLS)} where coalesce(url, '') <> '' and not regexp_matches(regexp_replace(split_part(regexp_replace(lower(url), '^https?://', ''), '/', 1), '^www\.', ''), '(?:^|\.)(?:{alts(U.WEB_EXCLUDED)})$')""")
 def google_web_excluded(spark, sf_dir):
-    return table(spark, sf_dir, "links").where(~U.web_excluded(c("url"))).select("link_id")
+    return plus(spark, sf_dir, "links", "link_id", *URLS).where(~U.web_excluded(c("url"))).select("link_id")
 
 
-scalar("canonical_quora", "links", "link_id", lambda: {"question_url": U.canonical_question(c("url"))}, r"select link_id, regexp_replace(regexp_replace(split_part(url, '#', 1), '(?i)/answer/[^/?#]+(/?$|/?\?)', '\1'), '/+$', '') as question_url from links")
+scalar("canonical_quora", "links", "link_id", lambda: {"question_url": U.canonical_question(c("url"))}, r"select link_id, regexp_replace(regexp_replace(split_part(url, '#', 1), '(?i)/answer/[^/?#]+(/?$|/?\?)', '\1'), '/+$', '') as question_url from links", extra=URLS)
 scalar(
     "substack_essay", "links", "link_id", lambda: {"essay": U.essay_url(c("url"))},
-    r"select link_id, case when regexp_matches(url, '(?i)^https?://(?:[a-z0-9-]+\.)?substack\.com/') and regexp_matches(url, '(?i)/p/[^/?#]+') then regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '/+$', '') end as essay from links",
+    r"select link_id, case when regexp_matches(url, '(?i)^https?://(?:[a-z0-9-]+\.)?substack\.com/') and regexp_matches(url, '(?i)/p/[^/?#]+') then regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '/+$', '') end as essay from links", URLS,
 )
 scalar(
-    "tiktok_parse", "links", "link_id", lambda: {"kind": U.clip_parts(c("url"))[0], "clip_url": U.clip_parts(c("url"))[1]},
+    "tiktok_parse", "links", "link_id", lambda: {"kind": U.clip_parts(c("url"))[0], "clip_url": U.clip_parts(c("url"))[1], "creator": U.clip_creator(c("url")), "slug_tag": U.clip_tag(c("url"))},
     "with a as (select link_id, " + ", ".join(f"regexp_extract(url, '{p}', 1) as {k}" for k, p in U._CLIP.items()) + f", regexp_extract(url, '{U._CLIP['video']}', 2) as vid from links) "
     "select link_id, case when video <> '' then 'video' when discover <> '' then 'discover' when tag <> '' then 'tag' end as kind, case when video <> '' then 'https://www.tiktok.com/@' || video || '/video/' || vid "
-    "when discover <> '' then 'https://www.tiktok.com/discover/' || discover when tag <> '' then 'https://www.tiktok.com/tag/' || tag end as clip_url from a",
+    "when discover <> '' then 'https://www.tiktok.com/discover/' || discover when tag <> '' then 'https://www.tiktok.com/tag/' || tag end as clip_url, nullif(video, '') as creator, "
+    "case when video <> '' then null else nullif(lower(replace(replace(case when discover <> '' then discover else tag end, '-', ''), '_', '')), '') end as slug_tag from a", URLS,
 )
 
 
@@ -152,13 +179,14 @@ def extract_hashtags(spark, sf_dir):
 
 _ENG = "case when view_count > 0 then least(round_even((coalesce(like_count, 0) + 3 * coalesce(comment_count, 0)) / view_count, 6), 1.0) end"
 scalar("engagement_score", "links", "link_id", lambda: {"score": T.engagement(c("view_count"), c("like_count"), c("comment_count"))}, f"select link_id, {_ENG} as score from links")
+CLOCKS = ("text", [(-1, "3:05"), (-2, "see (1:02:03) there"), (-3, "at 12:34"), (-4, "12:345"), (-5, "a1:23"), (-6, None), (-7, "")])
 _CLOCK = r"(?:^|[\s(])(\d{1,2}):(\d{2})(?::(\d{2}))?(?:[\s)]|$)"
 scalar(
     "parse_duration_text", "documents", "doc_id", lambda: {"seconds": T.clock_seconds(c("text"))},
-    rf"with a as (select doc_id, try_cast(regexp_extract(text, '{_CLOCK}', 1) as int) as a, try_cast(regexp_extract(text, '{_CLOCK}', 2) as int) as b, try_cast(regexp_extract(text, '{_CLOCK}', 3) as int) as d from documents) select doc_id, case when a is null then null when d is null then a * 60 + b else a * 3600 + b * 60 + d end as seconds from a",
+    rf"with a as (select doc_id, try_cast(regexp_extract(text, '{_CLOCK}', 1) as int) as a, try_cast(regexp_extract(text, '{_CLOCK}', 2) as int) as b, try_cast(regexp_extract(text, '{_CLOCK}', 3) as int) as d from documents) select doc_id, case when a is null then null when d is null then a * 60 + b else a * 3600 + b * 60 + d end as seconds from a", CLOCKS,
 )
 scalar("extract_video_id", "links", "link_id", lambda: {"video": T.video_id(c("url"))}, r"""select link_id, coalesce(nullif(regexp_extract(url, '(?i)youtube\.com/watch\?(?:[^#]*?&)?v=([A-Za-z0-9_-]{11})', 1), ''), nullif(regexp_extract(url, '(?i)youtube\.com/shorts/([A-Za-z0-9_-]{11})', 1), ''),
- nullif(regexp_extract(url, '(?i)youtube\.com/embed/([A-Za-z0-9_-]{11})', 1), ''), nullif(regexp_extract(url, '(?i)youtu\.be/([A-Za-z0-9_-]{11})', 1), '')) as video from links""")
+ nullif(regexp_extract(url, '(?i)youtube\.com/embed/([A-Za-z0-9_-]{11})', 1), ''), nullif(regexp_extract(url, '(?i)youtu\.be/([A-Za-z0-9_-]{11})', 1), '')) as video from links""", extra=URLS)
 
 
 @query("select link_id, is_short_video and (contains(coalesce(url, ''), '/shorts/') or duration_sec is null or duration_sec <= 180) as short_shape, not contains(coalesce(url, ''), '/shorts/') and (duration_sec is null or duration_sec > 60) as long_shape from links where is_short_video is not null")
@@ -168,9 +196,11 @@ def youtube_shape_filter(spark, sf_dir):
     return table(spark, sf_dir, "links").where("is_short_video is not null").select("link_id", (c("is_short_video") & (short | d.isNull() | (d <= 180))).alias("short_shape"), (~short & (d.isNull() | (d > 60))).alias("long_shape"))
 
 
-def strip_sql(x: str, dropped: list[str]) -> str:
+def strip_sql(x: str, dropped: list[str], inside_body: bool = False) -> str:
     for tag in dropped:  # no back-references in this dialect: one pass an element
         x = f"regexp_replace({x}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
+    if inside_body:
+        x = f"coalesce(nullif(regexp_extract({x}, '(?is)<body[^>]*>(.*?)</body>', 1), ''), {x})"
     x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
     for a, b in T._ENTITIES:
         q = b.replace("'", "''")
@@ -178,8 +208,13 @@ def strip_sql(x: str, dropped: list[str]) -> str:
     return rf"trim(regexp_replace(regexp_replace({x}, '&[a-zA-Z]+;', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
-scalar("strip_html_triage", "bodies", "body_id", lambda: {"plain": T.strip_html(c("text"))}, f"select body_id, {strip_sql('text', ['script', 'style'])} as plain from bodies")
-scalar("strip_html_body", "bodies", "body_id", lambda: {"plain": T.strip_html(c("text"), "script|style|nav|footer|aside|form|noscript", True)}, f"select body_id, {strip_sql('text', ['script', 'style', 'nav', 'footer', 'aside', 'form', 'noscript'])} as plain from bodies")
+#: Markup, entities and dropped elements, as the bodies hold almost none.
+MARKUP = ("text", [(-1 - i, t) for i, t in enumerate((
+    "<html><head><style>p {a}</style></head><body><nav>Menu</nav><p>One &amp; two</p><script>x < 1</script><footer>Foot</footer></body></html>", "<p>a&nbsp;b&quot;c&#39;d&lt;e&gt;</p>", "<aside>x</aside><form>y</form>left<noscript>z</noscript>",
+    "&copy; plain &hellip; text", "<BODY class=a>In <b>side</b></BODY> out", "", None,
+))])
+scalar("strip_html_triage", "bodies", "body_id", lambda: {"plain": T.strip_html(c("text"))}, f"select body_id, {strip_sql('text', ['script', 'style'])} as plain from bodies", MARKUP)
+scalar("strip_html_body", "bodies", "body_id", lambda: {"plain": T.strip_html(c("text"), "script|style|nav|footer|aside|form|noscript", True)}, f"select body_id, {strip_sql('text', ['script', 'style', 'nav', 'footer', 'aside', 'form', 'noscript'], True)} as plain from bodies", MARKUP)
 
 _SHORT_SQL = "concat_ws(chr(10), nullif(l.title, ''), case when v.caption <> '' and v.caption is distinct from l.title then v.caption end, case when len(v.top_comments) > 0 then 'Top comments: ' || array_to_string(v.top_comments, ' // ') end, case when v.transcript <> '' then 'Transcript: ' || v.transcript end)"
 
@@ -265,11 +300,6 @@ def detect_pairs(spark, sf_dir):
     return H.pairs(table(spark, sf_dir, "hypotheses"))
 
 
-@query("select coalesce(nullif(trim(core_problem_id), ''), '_uncategorized') as core_problem_id, count(*) as n, min_by(nullif(trim(core_problem_statement), ''), case when nullif(trim(core_problem_statement), '') is not null then hypothesis_id end) as statement, min(hypothesis_id) as first_id, max(hypothesis_id) as last_id from hypotheses group by 1")
-def batch_preview(spark, sf_dir):
-    return H.preview(table(spark, sf_dir, "hypotheses"))
-
-
 @query(f"with t as (select row_id, {strip_sql_blank("regexp_extract(raw_line, '([^,]*)$', 1)")} as x from hypothesis_lines) select row_id, case when regexp_matches(x, '^[+-]?[0-9]+$') then try_cast(x as int) end as last_int from t")
 def try_int(spark, sf_dir):
     return table(spark, sf_dir, "hypothesis_lines").select("row_id", U.strip(F.regexp_extract("raw_line", "([^,]*)$", 1)).try_cast("int").alias("last_int"))
@@ -299,9 +329,10 @@ scalar(
     "scan_identity", "hypotheses", "hypothesis_id", lambda: {"identities": F.array_join(H.lexicon_hits(_htext(), H.IDENTITIES, True), ",")},
     f"with h as (select hypothesis_id, {_HTEXT} as t from hypotheses) select hypothesis_id, {lex_sql(H.IDENTITIES, True)} as identities from h",
 )
+PLACED = ("statement", [("~1", "Buyers in New Delhi and Mumbai, and Indian shoppers abroad"), ("~2", "the US and south asian markets"), ("~3", None)])
 scalar(
-    "scan_geo", "hypotheses", "hypothesis_id", lambda: {"places": F.array_join(H.lexicon_hits(_htext(), sorted(H.PLACES, key=lambda t: (-len(t), t)), True), ",")},
-    f"with h as (select hypothesis_id, {_HTEXT} as t from hypotheses) select hypothesis_id, {lex_sql(sorted(H.PLACES, key=lambda t: (-len(t), t)), True)} as places from h",
+    "scan_geo", "hypotheses", "hypothesis_id", lambda: {"places": F.array_join(H.lexicon_hits(c("statement"), sorted(H.PLACES, key=lambda t: (-len(t), t)), True), ",")},
+    f"with h as (select hypothesis_id, lower(coalesce(statement, '')) as t from hypotheses) select hypothesis_id, {lex_sql(sorted(H.PLACES, key=lambda t: (-len(t), t)), True)} as places from h", PLACED,
 )
 
 
@@ -439,13 +470,6 @@ def fallback_union(spark, sf_dir):
     return L.fallback_union(links, ["headless_google", "brave", "duckduckgo", "serpapi"], 10)
 
 
-@query("select hypothesis_id, link_id from (select hypothesis_id, link_id, row_number() over (partition by hypothesis_id order by link_id) as n from links where contains(url, 'forum.')) where n <= 20")
-def pool_pick(spark, sf_dir):
-    """The first twenty pooled links of each hypothesis on forum hosts: the count asked of the pool."""
-    w = Window.partitionBy("hypothesis_id").orderBy("link_id")
-    return table(spark, sf_dir, "links").where(c("url").contains("forum.")).select("hypothesis_id", "link_id", F.row_number().over(w).alias("n")).where("n <= 20").drop("n")
-
-
 _RICH = "sv desc, views desc, rich desc, age desc, link_id"
 _CLUSTERS = f"""{CANON.replace("'g') as url) from links)", "'g') as url) from (select * replace (coalesce(nullif(canonical_url, ''), url) as url) from links))").replace("p0 as", "ck0 as").replace("from p0", "from ck0").replace("pu as", "cku as").replace("from pu", "from cku").replace("pq as", "ckq as").replace("from pq", "from ckq").replace("cl as", "ckl as")},
 cv as (select link_id, max(caption) as caption, max(coalesce((len(top_comments) > 0)::int, 0) + coalesce((transcript <> '')::int, 0)) as enriched from short_videos group by 1),
@@ -544,15 +568,6 @@ def group_by_verdict(spark, sf_dir):
     return table(spark, sf_dir, "links").groupBy("hypothesis_id").agg(F.count_if(v == "supports").alias("supports"), F.count_if(v == "refutes").alias("refutes"), F.count_if(~v.isin("supports", "refutes")).alias("tangential"))
 
 
-@query("""with s as (select hypothesis_id, count(*) filter (verdict = 'supports') as s, count(*) filter (verdict = 'refutes') as r from links group by 1)
-select hypothesis_id, case when s = 0 and r = 0 then 'inconclusive' when r = 0 then 'supports' when s = 0 then 'refutes' when s >= 3 * r then 'largely supports' when r >= 3 * s then 'largely refutes' else 'mixed' end as headline from s""")
-def verdict_summary(spark, sf_dir):
-    n = table(spark, sf_dir, "links").groupBy("hypothesis_id").agg(F.count_if(c("verdict") == "supports").alias("s"), F.count_if(c("verdict") == "refutes").alias("r"))
-    s, r = c("s"), c("r")
-    head = F.when((s == 0) & (r == 0), "inconclusive").when(r == 0, "supports").when(s == 0, "refutes").when(s >= 3 * r, "largely supports").when(r >= 3 * s, "largely refutes").otherwise("mixed")
-    return n.select("hypothesis_id", head.alias("headline"))
-
-
 @query(f"""with {CANON}, k as (select link_id, hypothesis_id, verdict, confidence, canon from cl), v as (select canon, verdict, count(*) as n, min(link_id) as f from k where verdict is not null group by 1, 2),
 m as (select canon, verdict, row_number() over (partition by canon order by n desc, f) as p from v) select t.canon_md5 as url_key, n_hypotheses, n_links, confidence_max, m.verdict as verdict_majority from
 (select canon, md5(canon) as canon_md5, count(distinct hypothesis_id) as n_hypotheses, count(*) as n_links, max(confidence) as confidence_max from k group by 1) t left join m on m.canon = t.canon and p = 1""")
@@ -560,36 +575,6 @@ def batch_url_rollup(spark, sf_dir):
     return L.url_rollup(table(spark, sf_dir, "links")).drop("representative")
 
 
-_AXES = ("taste", "texture", "price", "label", "delivery", "recipe")
-
-
-@query("""with a(axis) as (values """ + ", ".join(f"('{x}')" for x in _AXES) + """), q as (select link_id, verdict, lower(snippet) as s from links where verdict in ('supports', 'refutes'))
-select axis, count(*) filter (verdict = 'supports') as supports, count(*) filter (verdict = 'refutes') as refutes from a left join q on contains(s, axis) group by 1""")
-def coverage(spark, sf_dir):
-    low = F.lower("snippet")
-    hits = table(spark, sf_dir, "links").where(c("verdict").isin("supports", "refutes")).select("verdict", F.explode(F.filter(F.array(*map(F.lit, _AXES)), lambda x: low.contains(x))).alias("axis"))
-    axes = spark.createDataFrame([(x,) for x in _AXES], "axis string")
-    counted = hits.groupBy("axis").agg(F.count_if(c("verdict") == "supports").alias("supports"), F.count_if(c("verdict") == "refutes").alias("refutes"))
-    return axes.join(counted, "axis", "left").select("axis", F.coalesce("supports", F.lit(0)).alias("supports"), F.coalesce("refutes", F.lit(0)).alias("refutes"))
-
-
-@query("select hypothesis_id, target_signal, count(*) as n from links where target_signal is not null group by 1, 2 having count(*) < 2")
-def evidence_gaps(spark, sf_dir):
-    return table(spark, sf_dir, "links").where("target_signal is not null").groupBy("hypothesis_id", "target_signal").agg(F.count(F.lit(1)).alias("n")).where("n < 2")
-
-
-@query("select hypothesis_id, count(*) filter (verdict = 'supports') as supports, count(*) filter (verdict = 'refutes') as refutes, max_by(link_id, (confidence, -link_id)) filter (verdict = 'supports' and confidence is not null) as best_support, max_by(link_id, (confidence, -link_id)) filter (verdict = 'refutes' and confidence is not null) as best_refute from links group by 1")
-def synthesis_row(spark, sf_dir):
-    def best(v: str) -> Column:
-        return F.max_by("link_id", F.when((c("verdict") == v) & c("confidence").isNotNull(), F.struct("confidence", (-c("link_id")).alias("n"))))
-
-    return table(spark, sf_dir, "links").groupBy("hypothesis_id").agg(F.count_if(c("verdict") == "supports").alias("supports"), F.count_if(c("verdict") == "refutes").alias("refutes"), best("supports").alias("best_support"), best("refutes").alias("best_refute"))
-
-
-@query(f"select coalesce({_BK}, '') as backend, count(*) as n, count(*) filter (observed_at is null) as undated, count(distinct channel) as channels from links group by 1")
-def channel_health(spark, sf_dir):
-    b = F.coalesce(F.regexp_replace(F.lower(F.trim("backend_used")), r"[\s\-]+", "_"), F.lit(""))
-    return table(spark, sf_dir, "links").groupBy(b.alias("backend")).agg(F.count(F.lit(1)).alias("n"), F.count_if(c("observed_at").isNull()).alias("undated"), F.countDistinct("channel").alias("channels"))
 
 
 @query("select l.link_id, l.hypothesis_id, h.core_problem_id, h.core_problem_statement from links l left join hypotheses h using (hypothesis_id)")
@@ -598,18 +583,6 @@ def batch_raw_csv(spark, sf_dir):
     return salted_join(links, table(spark, sf_dir, "hypotheses").select("hypothesis_id", "core_problem_id", "core_problem_statement"), "hypothesis_id", c("link_id")).select("link_id", "hypothesis_id", "core_problem_id", "core_problem_statement")
 
 
-@query("select link_id, coalesce(l.duration_sec, 0) as duration_sec, v.creator_followers, v.lang from links l join short_videos v using (link_id)")
-def video_enrichment(spark, sf_dir):
-    links, videos = table(spark, sf_dir, "links").select("link_id", F.coalesce("duration_sec", F.lit(0)).alias("duration_sec")), table(spark, sf_dir, "short_videos").select("link_id", "creator_followers", "lang")
-    return links.join(videos, "link_id")
-
-
-@query(r"""select link_id, array_to_string(list_transform(signal_tags, lambda x: regexp_replace(x, '[\r\n]+', ' ', 'g')), ' | ') as signal_tags, case when falsifier then 'true' else 'false' end as falsifier, regexp_replace(coalesce(title, ''), '[^A-Za-z0-9._\-]', '_', 'g') as safe_title from links""")
-def link_csv_row(spark, sf_dir):
-    tags = F.array_join(F.transform("signal_tags", lambda x: F.regexp_replace(x, r"[\r\n]+", " ")), " | ")
-    return table(spark, sf_dir, "links").select("link_id", tags.alias("signal_tags"), F.when(c("falsifier"), "true").otherwise("false").alias("falsifier"), F.regexp_replace(F.coalesce("title", F.lit("")), r"[^A-Za-z0-9._\-]", "_").alias("safe_title"))
-
-
 # --- event state ------------------------------------------------------------------------------------
 _FAIL = """f as (select user_id, event_id, ts, event_type = 'error' as bad, sum(case when event_type <> 'error' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from events),
 g as (select *, case when bad then row_number() over (partition by user_id, run, bad order by ts, event_id) else 0 end as streak from f)"""
