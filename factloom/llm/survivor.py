@@ -1,4 +1,4 @@
-"""Best representative of each duplicate group: Bayesian fusion, and the survivor by trust order."""
+"""Best representative of each duplicate group: Bayesian fusion with copy detection, with trust in the sources as prior where it is given."""
 
 from __future__ import annotations
 
@@ -39,58 +39,43 @@ def members_of(clusters: DataFrame) -> DataFrame:
     return clusters.select("cluster_key", ids.alias("m")).where(F.size("m") >= 2).select("cluster_key", F.explode("m").alias("link_id")).where("cluster_key is not null")
 
 
-def ranked_members(clusters: DataFrame, links: DataFrame, trust: DataFrame, texts: Sequence[str], counts: Sequence[str]) -> DataFrame:
-    """Members of each cluster with the trust rank of their backend and a flag per field for a real value.
-
-    Only ids, ranks and flags are shuffled, never the texts. The trust table is
-    broadcast below ``MAX_TRUST`` rows and joined by shuffle above."""
-    ranks = trust.groupBy(backend_key(F.col("backend")).alias("_b")).agg(F.min("trust_rank").alias("trust_rank"))
-    if trust.limit(MAX_TRUST + 1).count() <= MAX_TRUST:
-        ranks = F.broadcast(ranks)
-    flags = [real_text(F.col(c)).alias(c) for c in texts] + [real_count(F.col(c)).alias(c) for c in counts]
-    slim = links.select("link_id", "observed_at", backend_key(F.col("backend_used")).alias("_b"), *flags).join(ranks, "_b", "left").drop("_b")
-    return members_of(clusters).join(slim, "link_id")
+MAX_TRUST = 10_000
 
 
-MAX_TRUST = 10_000
+FIELDS = ("title", "snippet", "creator", "view_count")
 
 
-def survivors(clusters: DataFrame, links: DataFrame, trust: DataFrame, texts: Sequence[str] = ("title", "snippet", "creator"), counts: Sequence[str] = ("view_count",)) -> DataFrame:
-    """(cluster_key, field_name, link_id): the member whose value survives in each field.
+def survivors(clusters: DataFrame, links: DataFrame, trust: DataFrame, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """(cluster_key, field_name, link_id): the member whose value survives in each field, by fusion with trust as its prior.
 
-    Best trust rank first (missing or unlisted backends last), then the latest
-    observed_at (missing last), then the smallest link_id. A field without a real
-    value gives no row; members that are not in ``links`` have no values; a cluster
-    row repeated with the same key counts as one cluster; a link id given twice in
-    ``links`` takes the better row. Aggregation is a plain minimum over
-    structs, so partial results are combined before the shuffle whatever the size of a cluster.
+    Best trust rank first (missing or unlisted backends last), then the latest observed_at (missing last), then the smallest link_id.
+    Cases as in ``fuse``; a cluster row repeated with the same key counts as one cluster, and so does a link id given twice.
     """
-    fields = [*texts, *counts]
-    rows = ranked_members(clusters, links, trust, texts, counts)
-    key = F.struct(F.coalesce("trust_rank", F.lit(2**31 - 1)), -F.coalesce(F.unix_micros("observed_at"), F.lit(-(2**62))), "link_id")
-    best = rows.groupBy("cluster_key").agg(*[F.min(F.when(F.col(c), key))["link_id"].alias(c) for c in fields])
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("link_id")) for c in fields]))
-    return best.select("cluster_key", pairs.alias("p")).select("cluster_key", "p.*").where("link_id is not null")
-
-
-def claims_of(clusters: DataFrame, links: DataFrame, fields: Sequence[str] = ("title", "snippet", "creator", "view_count")) -> DataFrame:
-    """What each source says: one row per (cluster_key, field_name, source, value) with the
-    smallest link_id and the latest observation that carry it. Texts are compared by
-    their lower-case letters and digits; a missing source is the source '?'."""
+    return fuse(clusters, links, fields, trust).select("cluster_key", "field_name", "link_id")
+
+
+def claims_of(clusters: DataFrame, links: DataFrame, fields: Sequence[str] = FIELDS, ranks: DataFrame | None = None) -> DataFrame:
+    """What each source says now: (cluster_key, claims), claims holding for each source with a member in the cluster its latest real value
+    of every field, as a struct (seen, neg, value) of microseconds, minus the link id and a hash of the value, or null.
+
+    Texts are compared by their lower-case letters and digits. A source is a backend, a missing one being '?'; with ``ranks``
+    (_b, trust_rank) it is a rank of trust, all backends without one being the last. Members fall together by source before they meet by cluster, so a cluster's
+    array is bounded by the number of sources whatever its size. Later claims of a source replace its earlier ones, ties go to the smaller link id."""
     kinds = dict(links.dtypes)
-    pairs = []
-    for c in fields:
+
+    def value(c: str) -> Column:
         if kinds[c] == "string":
-            ok, value = real_text(F.col(c)), F.md5(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}]+", ""))
-        else:
-            ok, value = real_count(F.col(c)), F.col(c).cast("string")
-        pairs.append(F.struct(F.lit(c).alias("field_name"), F.when(ok, value).alias("value")))
-    said = links.select("link_id", "observed_at", F.coalesce(backend_key(F.col("backend_used")), F.lit("?")).alias("source"), F.explode(F.array(*pairs)).alias("p"))
-    said = said.select("link_id", "observed_at", "source", "p.*").where("value is not null")
-    return (
-        members_of(clusters).join(said, "link_id").groupBy("cluster_key", "field_name", "source", "value")
-        .agg(F.min("link_id").alias("link_id"), F.max("observed_at").alias("observed_at"))
-    )
+            return F.when(real_text(F.col(c)), F.xxhash64(F.regexp_replace(F.lower(c), r"[^\p{L}\p{M}\p{N}]+", "")))
+        return F.when(real_count(F.col(c)), F.xxhash64(F.col(c).cast("string")))
+
+    slim = links.select("link_id", F.coalesce(F.unix_micros("observed_at"), F.lit(-(2**62))).alias("seen"), backend_key(F.col("backend_used")).alias("_b"), *[value(c).alias(f"v_{c}") for c in fields])
+    if ranks is None:
+        slim = slim.withColumn("source", F.coalesce("_b", F.lit("?")))
+    else:
+        slim = slim.join(ranks, "_b", "left").withColumn("source", F.lpad(F.coalesce("trust_rank", F.lit(2**31 - 1)).cast("string"), 10, "0")).drop("trust_rank")
+    latest = [F.max(F.when(F.col(f"v_{c}").isNotNull(), F.struct("seen", (-F.col("link_id")).alias("neg"), F.col(f"v_{c}").alias("value")))).alias(c) for c in fields]
+    per = members_of(clusters).join(slim.drop("_b"), "link_id").groupBy("cluster_key", "source").agg(*latest)
+    return per.groupBy("cluster_key").agg(F.collect_list(F.struct("source", *fields)).alias("claims"))
 
 
 def dependence(a: float, b: float, kt: float, kf: float, kd: float, n_false: int, copy_rate: float, prior: float = 0.1) -> float:
@@ -103,65 +88,78 @@ def dependence(a: float, b: float, kt: float, kf: float, kd: float, n_false: int
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, score))))
 
 
-def fuse(clusters: DataFrame, links: DataFrame, fields: Sequence[str] = ("title", "snippet", "creator", "view_count"), rounds: int = 3, n_false: int = 10, copy_rate: float = 0.8, max_sources: int = 100) -> DataFrame:
+def _entries(field: str, place: Column, vote: Column) -> Column:
+    """The claims on a field as structs, in order of the sources' places."""
+    named = F.transform(F.filter("claims", lambda x: x[field].isNotNull()), lambda x: F.struct(place[x["source"]].alias("place"), x["source"].alias("source"), vote[x["source"]].alias("vote"), x[field]["value"].alias("value"), x[field]["neg"].alias("neg"), x[field]["seen"].alias("seen")))
+    return F.array_sort(named)
+
+
+def _scored(entries: Column, depends: Column, copy_rate: float) -> Column:
+    """(value, score, at) of each value: the sum of its sources' votes, each discounted by the chance that it copies an earlier one; ``at`` is its first entry."""
+
+    def free(x: Column) -> Column:
+        # an earlier entry with the same value may be what x was copied from
+        return F.aggregate(F.filter(entries, lambda y: (y["value"] == x["value"]) & (y["place"] < x["place"])), F.lit(1.0), lambda acc, y: acc * (1 - copy_rate * F.coalesce(F.try_element_at(depends, F.concat_ws("\u0001", x["source"], y["source"])), F.lit(0.0))))
+
+    weighed = F.transform(entries, lambda x: F.struct(x["value"].alias("value"), (x["vote"] * free(x)).alias("w")))
+    values = F.array_distinct(F.transform(entries, lambda x: x["value"]))
+    return F.transform(values, lambda v: F.struct(v.alias("value"), F.aggregate(F.filter(weighed, lambda e: e["value"] == v), F.lit(0.0), lambda acc, e: acc + e["w"]).alias("score"), F.filter(entries, lambda e: e["value"] == v)[0].alias("at")))
+
+
+def fuse(
+    clusters: DataFrame, links: DataFrame, fields: Sequence[str] = FIELDS, trust: DataFrame | None = None, rounds: int = 3, n_false: int = 10, copy_rate: float = 0.8, max_sources: int = 1000
+) -> DataFrame:
     """Bayesian fusion with copy detection: the maximum-posterior value of each field.
 
-    Out: (cluster_key, field_name, link_id, posterior, n_sources, n_values); link_id is
-    the smallest member that carries the value. Each round (1) scores a value by the
-    log-odds of the sources that claim it, each discounted by the chance that it copied
-    a more accurate source with the same value, (2) turns scores into posteriors,
-    (3) re-estimates source accuracies as mean posteriors and the dependence of
-    each pair of sources from the false values they share (``n_false`` false values
-    per true one, ``copy_rate`` is the share of values a copier copies). Ties: later
-    observation, then smaller link_id. Source tables are bounded by ``max_sources``, checked.
+    Out: (cluster_key, field_name, link_id, posterior, n_sources, n_values); link_id is the member by which the first source of the value
+    claims it. Each round (1) scores a value by the log-odds of the sources that claim it, each discounted by the chance that it
+    copied a more accurate source with the same value, (2) turns scores into posteriors, (3) re-estimates source accuracies as mean posteriors and
+    the dependence of each pair of sources from the false values they share (``n_false`` false values per true one, ``copy_rate`` is the share of
+    values a copier copies).
+
+    ``trust`` (backend, trust_rank) is the prior: sources are then the ranks of trust, and the prior log-odds of each rank exceed
+    all that lower ranks can bring together, votes and prior alike. The posterior's maximum thus is what the best rank says, by its latest claim, and what
+    the data say on accuracy and copying decides between nothing else. Without it all sources start alike.
+
+    Clusters need two distinct members; null members, members not in ``links``, fields without a real value, and null keys give no row. The claims
+    are written once; a round is one pass over them without a shuffle, and sums by source and pair of sources. ``max_sources`` bounds those sums
+    and is checked.
     """
-    claims = cut(claims_of(clusters, links, fields))
-    spark = claims.sparkSession
-    names = [r[0] for r in claims.select("source").distinct().limit(max_sources + 1).collect()]
+    ranks = None
+    if trust is not None:
+        ranks = trust.groupBy(backend_key(F.col("backend")).alias("_b")).agg(F.min("trust_rank").alias("trust_rank")).where("_b is not null")
+        ranks = F.broadcast(ranks) if trust.limit(MAX_TRUST + 1).count() <= MAX_TRUST else ranks
+    claims = cut(claims_of(clusters, links, fields, ranks))
+    names = sorted(r[0] for r in claims.select(F.explode("claims.source").alias("s")).distinct().limit(max_sources + 1).collect())
     if len(names) > max_sources:
-        raise ValueError(f"more than {max_sources} sources; give fewer or raise max_sources")
+        raise ValueError(f"more than {max_sources} sources; raise max_sources, or give their ranks of trust")
     accuracy = dict.fromkeys(names, 0.8)
+    # a rank's prior outweighs all lower ones: 28 * 3**m, as a vote is within 7 either way
+    prior = {s: 28.0 * 3.0 ** min(600, len(names) - 1 - i) if trust is not None else 0.0 for i, s in enumerate(names)}
     depends: dict[tuple[str, str], float] = {}
-    item = ["cluster_key", "field_name"]
+    literal = lambda d: F.create_map(*[F.lit(x) for kv in (d or {"": 0.0}).items() for x in kv])
     for turn in range(rounds):
-        order = sorted(names, key=lambda s: (-accuracy[s], s))
-        vote = {s: math.log(n_false * accuracy[s] / (1 - accuracy[s])) for s in names}
-        table = spark.createDataFrame([(s, float(i), vote[s]) for i, s in enumerate(order)], "source string, place double, vote double")
-        close = {f"{a}\u0001{b}": p for (a, b), p in depends.items() if p > 0.01}
-        dep = F.create_map(*[F.lit(x) for kv in (close or {"": 0.0}).items() for x in kv])
-        per_value = (
-            claims.join(F.broadcast(table), "source").groupBy(*item, "value")
-            .agg(F.collect_list(F.struct("place", "source", "vote")).alias("who"), F.min("link_id").alias("link_id"), F.max("observed_at").alias("observed_at"))
-        )  # fmt: skip — at most max_sources entries a value, as claims hold a source once
-        freedom = lambda x: F.aggregate(
-            F.filter("who", lambda y: y["place"] < x["place"]), F.lit(1.0),
-            lambda acc, y: acc * (1 - copy_rate * F.coalesce(F.try_element_at(dep, F.concat_ws("\u0001", x["source"], y["source"])), F.lit(0.0))),
-        )
-        scored = per_value.withColumn("score", F.aggregate("who", F.lit(0.0), lambda acc, x: acc + x["vote"] * freedom(x)))
-        top = scored.groupBy(*item).agg(F.max("score").alias("top"), F.count(F.lit(1)).alias("n_values"))
-        scored = scored.join(top, item)
-        weight = F.exp(F.col("score") - F.col("top"))
-        total = scored.groupBy(*item).agg(F.sum(weight).alias("total"), F.sum(F.size("who")).alias("n_sources"))
-        posterior = cut(scored.join(total, item).select(*item, "value", "who.source", "link_id", "observed_at", "n_values", "n_sources", (weight / F.col("total")).alias("posterior")))
+        order = sorted(names, key=lambda s: (-prior[s], -accuracy[s], s))
+        vote = {s: prior[s] + max(-7.0, min(7.0, math.log(n_false * accuracy[s] / (1 - accuracy[s])))) for s in names}
+        place, votes = literal({s: i for i, s in enumerate(order)} or {"": 0}), literal(vote)
+        dep = literal({f"{a}\u0001{b}": p for (a, b), p in depends.items() if p > 0.01})
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), _entries(c, place, votes).alias("e")) for c in fields]))
+        found = claims.select("cluster_key", pairs.alias("p")).select("cluster_key", "p.*").where(F.size("e") > 0)
+        scored = found.withColumn("v", _scored(F.col("e"), dep, copy_rate)).withColumn("top", F.array_max(F.transform("v", lambda x: x["score"])))
+        scored = scored.withColumn("total", F.aggregate("v", F.lit(0.0), lambda acc, x: acc + F.exp(x["score"] - F.col("top"))))
         if turn + 1 == rounds:
             break
-        flat = posterior.select(*item, "value", "posterior", F.explode("source").alias("source"))
-        stats = {r["source"]: r["a"] for r in flat.groupBy("source").agg(F.avg("posterior").alias("a")).collect()}
-        accuracy |= {s: min(0.99, max(0.05, a)) for s, a in stats.items()}
-        said = posterior.select(*item, "value", "posterior", F.explode("source").alias("source"))
-        per_item = said.groupBy(*item).agg(F.collect_list(F.struct("source", "value", "posterior")).alias("s"))
-        both = per_item.select(F.explode("s").alias("a"), "s").select("a", F.explode("s").alias("b")).where("a.source < b.source")
-        same = F.col("a.value") == F.col("b.value")
-        counts = both.groupBy(F.col("a.source").alias("a"), F.col("b.source").alias("b")).agg(
-            F.sum(F.when(same, F.col("a.posterior")).otherwise(0.0)).alias("kt"),
-            F.sum(F.when(same, 1 - F.col("a.posterior")).otherwise(0.0)).alias("kf"),
-            F.sum(F.when(same, 0.0).otherwise(1.0)).alias("kd"),
-        )
+        said = scored.select("e", F.map_from_entries(F.transform("v", lambda x: F.struct(x["value"], F.exp(x["score"] - F.col("top")) / F.col("total")))).alias("p"))
+        stats = said.select(F.explode("e").alias("e"), "p").groupBy("e.source").agg(F.avg(F.col("p")[F.col("e.value")]).alias("a")).collect()
+        accuracy |= {r["source"]: min(0.99, max(0.05, r["a"])) for r in stats}
+        # pairs of sources on an item: a source has one entry, so they are bounded by the sources
+        both = said.select(F.explode(F.flatten(F.transform("e", lambda a: F.transform(F.filter("e", lambda b: a["source"] < b["source"]), lambda b: F.struct(
+            a["source"].alias("a"), b["source"].alias("b"), (a["value"] == b["value"]).alias("same"), F.col("p")[a["value"]].alias("p")))))).alias("x")).select("x.*")
+        counts = both.groupBy("a", "b").agg(F.sum(F.when(F.col("same"), F.col("p")).otherwise(0.0)).alias("kt"), F.sum(F.when(F.col("same"), 1 - F.col("p")).otherwise(0.0)).alias("kf"), F.count_if(~F.col("same")).alias("kd"))
         depends = {}
         for a, b, kt, kf, kd in counts.collect():
             depends[a, b] = depends[b, a] = dependence(accuracy[a], accuracy[b], kt, kf, kd, n_false, copy_rate)
-    pick = F.struct(F.col("posterior"), F.coalesce(F.unix_micros("observed_at"), F.lit(-(2**62))), (-F.col("link_id")).alias("neg"))
-    return (
-        posterior.groupBy(*item).agg(F.max(pick).alias("b"), F.first("n_sources").alias("n_sources"), F.first("n_values").alias("n_values"))
-        .select(*item, (-F.col("b.neg")).alias("link_id"), F.round("b.posterior", 6).alias("posterior"), "n_sources", "n_values")
+    best = F.array_max(F.transform("v", lambda x: F.struct(x["score"], x["at"]["seen"], x["at"]["neg"])))
+    return scored.withColumn("b", best).select(
+        "cluster_key", "field_name", (-F.col("b.neg")).alias("link_id"), F.round(1 / F.col("total"), 6).alias("posterior"), F.size("e").alias("n_sources"), F.size("v").alias("n_values")
     )
