@@ -54,14 +54,18 @@ def curves(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     # a token-less page still carries its links, as one row with a null word
     # shares of the whole text are computed below the explode, once a page
     page_rows = docs.select(F.col(id_col).alias("id"), (marks / F.greatest(chunks, F.lit(1))).alias("links"), tokens.alias("ws"))
-    words = page_rows.select("id", "links", F.explode_outer("ws").alias("w"))
+    # words travel as hashes, and only the closed-class words are looked up, in one small table of fixed size
+    words = page_rows.select("id", "links", F.explode_outer(F.transform("ws", lambda w: F.xxhash64(w))).alias("w"))
     counted = words.groupBy("id", "w").agg(F.count("w").alias("n"), F.max("links").alias("links"))
     page = Window.partitionBy("id")
     ranked = counted.withColumns({"r": F.row_number().over(page.orderBy(F.desc("n"), "w")), "total": F.sum("n").over(page)})
+    langs = sorted(WORDS)
+    closed = docs.sparkSession.createDataFrame([(w, sum(1 << i for i, k in enumerate(langs) if w in WORDS[k])) for w in sorted(_ALL)], "word string, mask int")
+    known = ranked.join(F.broadcast(closed.select(F.xxhash64("word").alias("w"), "mask")), "w", "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
     x, y = F.log("r"), F.log(F.greatest("n", F.lit(1)))
-    own = {k: F.sum(F.when(F.col("w").isin(*sorted(v)), F.col("n")).otherwise(0)) for k, v in WORDS.items()}
-    frequent = (F.col("n") >= OFTEN) & (F.col("n") >= SHARE * F.col("total")) & ~F.coalesce(F.col("w").isin(*sorted(_ALL)), F.lit(True))
-    fitted = ranked.groupBy("id").agg(
+    own = {k: F.sum(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col("n")).otherwise(0)) for i, k in enumerate(langs)}
+    frequent = (F.col("n") >= OFTEN) & (F.col("n") >= SHARE * F.col("total")) & (F.col("mask") == 0) & F.col("w").isNotNull()
+    fitted = known.groupBy("id").agg(
         F.first("total").alias("n_tokens"), F.count("w").alias("n_words"), F.max("links").alias("links"),
         F.regr_slope(y, x).alias("slope"), F.var_pop(y).alias("vy"), F.var_pop(x).alias("vx"), F.covar_pop(y, x).alias("cxy"),
         F.sum(F.when(frequent, F.col("n")).otherwise(0)).alias("often"), *[v.alias(f"f_{k}") for k, v in own.items()],
