@@ -27,6 +27,7 @@ FUNCTION_WORDS = {
 }
 WORDS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _ALL = frozenset().union(*WORDS.values())
+_SPEAKS = {w: tuple(k for k, v in WORDS.items() if w in v) for w in _ALL}
 _WORD = r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)?"
 _TOKEN = re.compile(_WORD)
 _LINK = re.compile(r"<a|\[?[\p{L}\p{M} ]*\]?\(?https?:|www\.|#\w|\S+\.[a-z]+/")
@@ -96,25 +97,40 @@ def extremes(pages: DataFrame) -> DataFrame:
     return seen.where(odd | (F.col("prose") < 0.3) | (F.col("stuffed") > 0.12) | (F.col("links") > 0.1)).select(*pages.columns)
 
 
-def unread_share(text: str) -> float:
-    """Share of a text, by characters, that stands in windows that are not prose."""
+def unread_share(text: str, memo: dict[str, tuple[bool, tuple[str, ...]]] | None = None) -> float:
+    """Share of a text, by characters, that stands in windows that are not prose. ``memo`` keeps (is it a link, its words) of tokens between pages."""
+    memo = {} if memo is None else memo
     lines = [line.split() for line in text.split("\n")]
-    words = [[() if _LINK.match(t) else tuple(_TOKEN.findall(t.lower())) for t in line] for line in lines]
-    count = Counter(w for line in words for t in line for w in t)
+    for line in lines:
+        for t in line:
+            if t not in memo:
+                link = bool(_LINK.match(t))
+                memo[t] = link, () if link else tuple(_TOKEN.findall(t.lower()))
+    count = Counter(w for line in lines for t in line for w in memo[t][1])
     size = sum(count.values())
     stuffed = {w for w, n in count.items() if n >= OFTEN and n >= SHARE * size and w not in _ALL}
     total = bad = 0
-    for tokens, line in zip(lines, words, strict=True):
+    for tokens in lines:
         k = len(tokens)
         parts = max(1, round(k / SPAN)) if k else 0
         for i in range(parts):
-            a, b = i * k // parts, (i + 1) * k // parts
-            own = [w for t in line[a:b] for w in t]
-            chars = sum(map(len, tokens[a:b])) + b - a
-            prose = max(sum(w in v for w in own) for v in WORDS.values()) / (b - a)
-            linked = sum(1 for t in tokens[a:b] if _LINK.match(t)) > LINKS * (b - a)
+            some = tokens[i * k // parts : (i + 1) * k // parts]
+            links = often = 0
+            heads: Counter[str] = Counter()
+            for t in some:
+                link, words = memo[t]
+                links += link
+                for w in words:
+                    if w in _SPEAKS:
+                        heads.update(_SPEAKS[w])
+                    elif w in stuffed:
+                        often += 1
+            n, chars = len(some), sum(map(len, some)) + len(some)
+            prose = max(heads.values(), default=0) / n
             total += chars
-            bad += chars * (prose < LEAN or linked or (prose < FULL and sum(w in stuffed for w in own) > STUFFED * (b - a)))
+            bad += chars * (prose < LEAN or links > LINKS * n or (prose < FULL and often > STUFFED * n))
+    if len(memo) > 200_000:
+        memo.clear()
     return bad / total if total else 0.0
 
 
@@ -133,8 +149,9 @@ def find_stuffed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     flagged = extremes(cut(curves(own, "id", "text")))
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo: dict[str, tuple[bool, tuple[str, ...]]] = {}
         for part in parts:
-            part["unread"] = [unread_share(t) for t in part.pop("text")]
+            part["unread"] = [unread_share(t, memo) for t in part.pop("text")]
             yield part[part["unread"] > share]
 
     kind = dict(docs.dtypes)[id_col]
