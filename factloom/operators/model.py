@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from factloom.session import ship
 
@@ -21,7 +22,7 @@ def ask(df: DataFrame, prompt: str, provider: Provider | None = None, batch: int
     if provider is None:
         return df.withColumn(answer, F.lit(None).cast("string"))
     ship(df.sparkSession)
-    schema = df.schema.add(answer, "string")
+    schema = StructType([*df.schema, StructField(answer, StringType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
