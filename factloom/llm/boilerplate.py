@@ -97,6 +97,21 @@ def code(key: str) -> int:
 _SPEAKS = {w: tuple(k for k, v in WORDS.items() if w in v) for w in frozenset().union(*WORDS.values())}
 
 
+_NAMED: dict[tuple[str, str], tuple[str, tuple[tuple[str, int], ...], int]] = {}
+
+
+def named(line: str, site: str) -> tuple[str, tuple[tuple[str, int], ...], int]:
+    """(name, (kind, code) of the line's keys, code of its head key), kept between pages, as furniture repeats."""
+    got = _NAMED.get((line, site))
+    if got is None:
+        name = label(line, site)
+        got = name, tuple((k[0], code(k)) for k in keys_of(name)), code(">" + name)
+        if len(_NAMED) > 100_000:
+            _NAMED.clear()
+        _NAMED[line, site] = got
+    return got
+
+
 def language(text: str) -> str:
     """The language with the most function words over the whole text; ties go to the later code."""
     seen = Counter(w for w in _WORD.findall(text.lower()) if w in _SPEAKS)
@@ -118,26 +133,26 @@ def headline_at(lines: list[str], url: str | None) -> int:
     return -1
 
 
-def nodes(text: str, url: str | None, site: str) -> list[tuple[str, str]]:
-    """(key, zone) of every distinct key of a page; zone is before, after, inside (m) or unknown (n), with p if the page has a paragraph, else q. '>' keys are the
+def nodes(text: str, url: str | None, site: str) -> list[tuple[str, int, str]]:
+    """(kind, code, zone) of every distinct key of a page; zone is before, after, inside (m) or unknown (n), with p if the page has a paragraph, else q. '>' keys are the
     names of lines followed by two short open lines: heads of lists of links."""
     lines = text.split("\n")
-    names = [label(line, site) for line in lines]
     head = headline_at(lines, url)
     long = [i for i, line in enumerate(lines) if len(line) >= PARAGRAPH]
-    out: dict[str, str] = {}
-    for i, name in enumerate(names):
+    full = "p" if long else "q"
+    top = head if head > -1 else long[0] - 1 if long else -1
+    out: dict[tuple[str, int], str] = {}
+    for i, line in enumerate(lines):
+        name, keys, lead = named(line, site)
         if not name or i == head:
             continue
-        top = head if head > -1 else long[0] - 1 if long else -1
         zone = "b" if i < top else "a" if long and i > long[-1] else "m" if long and head > -1 else "n"
-        for k in keys_of(name):
-            out.setdefault(k, zone)
+        for k in keys:
+            out.setdefault(k, zone + full)
         after = range(i + 1, i + 3)
         if i + 2 < len(lines) and head not in after and all(0 < len(lines[j]) < PARAGRAPH and not _END.search(lines[j]) and lines[j].count(" ") >= 2 for j in after):
-            out.setdefault(">" + name, zone)
-    full = "p" if long else "q"
-    return [(k, z + full) for k, z in out.items()]
+            out.setdefault((">", lead), zone + full)
+    return [(*k, z) for k, z in out.items()]
 
 
 def induce(bodies: DataFrame) -> DataFrame:
@@ -156,7 +171,7 @@ def induce(bodies: DataFrame) -> DataFrame:
                 site = site_of(url)
                 lang = language(text)
                 rows.append((site, lang, "", 0, ""))
-                rows += [(site, lang, k[0], code(k), z) for k, z in nodes(text, url, site)]
+                rows += [(site, lang, *x) for x in nodes(text, url, site)]
             yield pd.DataFrame(rows, columns=["site", "lang", "kind", "key", "zone"])
 
     pages = bodies.where("length(text) > 0")
@@ -203,7 +218,8 @@ def induce(bodies: DataFrame) -> DataFrame:
 def furniture(text: str, url: str | None, site: str, known: dict[int, str]) -> list[int]:
     """Line numbers (from 1) of a body that are furniture, given the verdicts of its site."""
     lines = text.split("\n")
-    names = [label(line, site) for line in lines]
+    known_as = [named(line, site) for line in lines]
+    names = [x[0] for x in known_as]
     head = headline_at(lines, url)
     kind: list[str] = []
     guessed: list[int] = []
@@ -213,7 +229,7 @@ def furniture(text: str, url: str | None, site: str, known: dict[int, str]) -> l
         elif not name:
             kind.append("blank")
         else:
-            full, *slots = [known.get(code(k)) for k in keys_of(name)]
+            full, *slots = [known.get(k) for _, k in known_as[i][1]]
             if full == "t" or (full != "C" and "t" in slots and len(lines[i]) < 1.6 * PARAGRAPH) or _MARKS.search(name):
                 kind.append("template")
                 if full != "t":
@@ -223,10 +239,10 @@ def furniture(text: str, url: str | None, site: str, known: dict[int, str]) -> l
     # a list of links: short open lines behind a head, up to a sentence, a stock line or a paragraph
     i = 0
     while i < len(lines):
-        if kind[i] == "template" and known.get(code(">" + names[i])) == "h":
+        if kind[i] == "template" and known.get(known_as[i][2]) == "h":
             j = i + 1
             while j < len(lines) and (kind[j] in ("open", "content") or j in guessed) and len(lines[j]) < PARAGRAPH and not _END.search(lines[j]):
-                stock = known.get(code("=" + names[j])) == "C" and names[j].count(" ") < 4
+                stock = known.get(known_as[j][1][0][1]) == "C" and names[j].count(" ") < 4
                 if stock or _BULLET.match(lines[j]):
                     break
                 kind[j] = "item"
