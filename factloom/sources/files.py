@@ -14,10 +14,10 @@ from factloom.functions.text import list_cell
 
 #: Other names that a column of an uploaded file may have. Fixed values.
 ALIASES = {
-    "id": "hypothesis_id", "hyp_id": "hypothesis_id", "hypothesis": "statement", "problem_id": "core_problem_id", "core_problem": "core_problem_statement",
-    "problem_statement": "core_problem_statement", "force": "force_assignment", "priority": "investigation_priority", "signals": "expected_signals",
-    "counter_signals": "expected_counter_signals", "contrarian_id": "contrarian_pair_id", "pair_id": "contrarian_pair_id", "cluster_id": "mece_cluster_id",
-    "mece_cluster": "mece_cluster_id", "window": "window_label",
+    "hypothesis_statement": "statement", "hypothesis": "statement", "claim": "statement", "claim_statement": "statement", "hyp_id": "hypothesis_id", "id": "hypothesis_id",
+    "cp_id": "core_problem_id", "cp_statement": "core_problem_statement", "core_problem": "core_problem_statement", "force": "force_assignment", "priority": "investigation_priority",
+    "signals": "expected_signals", "counter_signals": "expected_counter_signals", "pair_id": "contrarian_pair_id", "contrarian": "contrarian_pair_id",
+    "mece_cluster": "mece_cluster_id", "cluster_id": "mece_cluster_id", "window": "window_label", "triage": "max_triage", "triage_budget": "max_triage",
 }
 MANIFEST = "struct<bundle_id:string,research_intent:struct<north_star:string>,hypotheses:struct<core_problems:array<struct<id:string,statement:string,priority:string,hypotheses:array<struct<hypothesis_id:string,statement:string,dimension:string,force_assignment:string,expected_signals:array<string>>>>>>>"
 
@@ -26,22 +26,24 @@ def read_hypothesis_csv(spark: SparkSession, path: str) -> DataFrame:
     """Hypotheses of CSV files with any order and spelling of columns.
 
     Headers are normalised (lower case, underscores, aliases), a byte order mark is
-    dropped, rows without a statement are dropped, rows without an id are numbered h_auto_001... in
-    order of their statement, and of rows with one id the first is kept.
+    dropped, rows without a statement are dropped, rows without an id are numbered h_auto_001... in the
+    order of their file, and of a file's rows with one id the first is kept.
     """
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    named = raw.toDF(*[ALIASES.get(n, n) for n in (x.lstrip("﻿").strip().lower().replace(" ", "_").replace("-", "_") for x in raw.columns)])
+    named = raw.toDF(*[ALIASES.get(n, n) for n in (x.lstrip("\ufeff").strip().lower().replace(" ", "_").replace("-", "_") for x in raw.columns)])
     if "statement" not in named.columns:
         raise ValueError("a hypothesis file needs a column 'statement'")
     for c in ("hypothesis_id", "core_problem_id", "expected_signals", "expected_counter_signals"):
         if c not in named.columns:
             named = named.withColumn(c, F.lit(None).cast("string"))
-    kept = named.where(F.trim("statement") != "").withColumn("hypothesis_id", F.nullif(F.trim("hypothesis_id"), F.lit("")))
-    # an uploaded file is small: numbering runs over its id-less rows only
-    lone = kept.where("hypothesis_id is null").withColumn("hypothesis_id", F.format_string("h_auto_%03d", F.row_number().over(Window.orderBy("statement"))))
-    given = kept.where("hypothesis_id is not null")
-    first = given.groupBy("hypothesis_id").agg(F.min_by(F.struct(*[c for c in given.columns if c != "hypothesis_id"]), "statement").alias("r")).select("hypothesis_id", "r.*")
-    out = first.unionByName(lone)
+    columns = named.columns
+    # a file with line breaks inside quotes is read by one task, so its ids rise with its rows
+    placed = named.withColumns({"_file": F.input_file_name(), "_pos": F.monotonically_increasing_id(), "hypothesis_id": F.nullif(F.trim("hypothesis_id"), F.lit(""))}).where(F.trim("statement") != "")
+    lone = F.col("hypothesis_id").isNull()
+    number = F.count_if(lone).over(Window.partitionBy("_file").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = placed.withColumn("hypothesis_id", F.coalesce("hypothesis_id", F.format_string("h_auto_%03d", number)))
+    rest = [c for c in columns if c != "hypothesis_id"]
+    out = numbered.groupBy("_file", "hypothesis_id").agg(F.min_by(F.struct(*rest), "_pos").alias("r")).select("hypothesis_id", "r.*")
     return out.withColumns({
         "core_problem_id": F.coalesce(F.nullif(F.trim("core_problem_id"), F.lit("")), F.lit("_uncategorized")),
         "expected_signals": list_cell(F.coalesce("expected_signals", F.lit(""))),

@@ -61,7 +61,7 @@ def test_sources(spark, tmp_path):
 
     (tmp_path / "h.csv").write_text('﻿Statement,ID,Signals\n"one, two",h1,a|b\nthree,,c\n,,\nfour,h1,d\n', encoding="utf-8")
     got = {r.hypothesis_id: (r.statement, r.expected_signals, r.core_problem_id) for r in files.read_hypothesis_csv(spark, str(tmp_path / "h.csv")).collect()}
-    assert got == {"h1": ("four", ["d"], "_uncategorized"), "h_auto_001": ("three", ["c"], "_uncategorized")}
+    assert got == {"h1": ("one, two", ["a", "b"], "_uncategorized"), "h_auto_001": ("three", ["c"], "_uncategorized")}
     (tmp_path / "m.json").write_text(json.dumps({"bundle_id": "b", "hypotheses": {"core_problems": [{"id": "p", "statement": "s", "hypotheses": [{"statement": "x"}, {"statement": " "}, {"hypothesis_id": "k", "statement": "y"}]}]}}))
     assert {r.hypothesis_id for r in files.read_manifest(spark, str(tmp_path / "m.json")).collect()} == {"h_auto_001", "k"}
     folder = tmp_path / "r"
